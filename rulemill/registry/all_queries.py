@@ -1,2 +1,2 @@
 """Import every module that registers queries."""
-from rulemill.registry import core  # noqa: F401
+from rulemill.registry import core, parity_queries  # noqa: F401
