@@ -10,6 +10,7 @@ SPACES = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
 # Number spellings (digits may be grouped by single underscores).
 NUMBER_PATTERN = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 INTEGER_PATTERN = r"^[+-]?\d+(_\d+)*$"
@@ -32,6 +33,16 @@ def is_blank_spaces(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
+def blank_sql(name: str) -> str:
+    """is_blank as SQL text."""
+    return f"{name} IS NULL OR trim(LEADING '{SPACES_SQL}' FROM {name}) = ''"
+
+
+def blank_spaces_sql(name: str) -> str:
+    """is_blank_spaces as SQL text."""
+    return f"{name} IS NULL OR trim({name}) = ''"
+
+
 def non_empty(c: Column) -> Column:
     """The text, or null when it is empty."""
     return F.nullif(c, F.lit(""))

@@ -5,78 +5,85 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemill.functions.text import is_blank, is_blank_spaces
+from rulemill.functions.text import blank_sql
 from rulemill.operators.ranking import first_n_per_key
-from rulemill.rules.spec import SHIPPED, Rule
+from rulemill.rules.spec import SHIPPED, Rule, quoted
 from rulemill.schemas import VERDICT_SCHEMA
 
 
 @dataclass(frozen=True)
 class Pack:
-    """A verdict source: specs with a notion of blank, or SQL condition texts."""
+    """A verdict source: specs with a notion of blank, or the SQL condition texts of the specs."""
 
     source: str
     rules: tuple[Rule, ...] = SHIPPED
-    blank: Callable[[Column], Column] = is_blank
+    blank: Callable[[str], str] = blank_sql
     sql: bool = False
 
-    def predicates(self) -> dict[str, Column]:
+    def predicates(self) -> dict[str, str]:
+        """A never-null boolean SQL expression per rule."""
         if self.sql:
-            return {r.rule_name: F.coalesce(F.expr(r.sql_condition), F.lit(False)) for r in self.rules}
-        return {r.rule_name: r.predicate(self.blank) for r in self.rules}
-
-    def restrict(self, names: Sequence[str]) -> "Pack":
-        keep = set(names)
-        return Pack(self.source, tuple(r for r in self.rules if r.rule_name in keep), self.blank, self.sql)
+            return {r.rule_name: f"coalesce({r.sql_condition}, false)" for r in self.rules}
+        return {r.rule_name: r.expression(self.blank) for r in self.rules}
 
 
 def sql_pack(source: str, rules: Sequence[Rule] = SHIPPED) -> Pack:
     """A pack whose conditions are SQL texts, where blank means spaces only."""
-    return Pack(source, tuple(rules), is_blank_spaces, sql=True)
+    return Pack(source, tuple(rules), sql=True)
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hits(named: Sequence[tuple[str, str]]) -> str:
+    """SQL for the names whose predicate holds, in order. array_remove, unlike filter, stays in generated code."""
+    tests = ", ".join(f"CASE WHEN {p} THEN {text_literal(name)} ELSE '' END" for name, p in named)
+    return f"array_remove(array({tests}), '')"
 
 
-def _hits(named: Sequence[tuple[str, Column]]) -> Column:
-    """The names whose predicate holds, in order. array_remove, unlike filter, stays in generated code."""
-    return F.array_remove(F.array(*[F.when(p, F.lit(name)).otherwise("") for name, p in named]), "")
+WORD = 62  # rules per signature word
+
+
+def signature_word(preds: Sequence[str | None]) -> str:
+    """SQL for up to WORD verdicts of one product as the bits of a long."""
+    bits = [f"CASE WHEN {p} THEN {1 << i}L ELSE 0L END" for i, p in enumerate(preds) if p is not None]
+    return " | ".join(bits) or "0L"
 
 
 def product_tags(products: DataFrame, pack: Pack) -> DataFrame:
     """Tags per product in rule order, an empty array when clean."""
     preds = pack.predicates()
-    tags = _hits([(r.tag, preds[r.rule_name]) for r in pack.rules])
-    return products.select("product_id", tags.alias("tags"))
+    tags = hits([(r.tag, preds[r.rule_name]) for r in pack.rules])
+    return products.selectExpr("product_id", f"{tags} AS tags")
 
 
 def rule_verdicts(products: DataFrame, *packs: Pack) -> DataFrame:
     """Long verdicts (source, rule_name, product_id) of all packs from one scan."""
     if len(packs) == 1:
-        names = _hits(list(packs[0].predicates().items()))
-        return products.select(
-            F.lit(packs[0].source).alias("source"), F.explode(names).alias("rule_name"), "product_id")
-    keyed = [(f"{pack.source}\x1f{name}", p) for pack in packs for name, p in pack.predicates().items()]
-    return products.select(F.explode(_hits(keyed)).alias("key"), "product_id").select(
-        F.split_part("key", F.lit("\x1f"), F.lit(1)).alias("source"),
-        F.split_part("key", F.lit("\x1f"), F.lit(2)).alias("rule_name"),
-        "product_id",
-    )
+        names = hits(list(packs[0].predicates().items()))
+        return products.selectExpr(
+            f"{text_literal(packs[0].source)} AS source", f"explode({names}) AS rule_name", "product_id")
+    keyed = [(f"{pack.source}\n{name}", p) for pack in packs for name, p in pack.predicates().items()]
+    return products.selectExpr(f"explode({hits(keyed)}) AS key", "product_id").selectExpr(
+        "split_part(key, '\\n', 1) AS source", "split_part(key, '\\n', 2) AS rule_name", "product_id")
 
 
 def violation_rows(products: DataFrame, pack: Pack) -> DataFrame:
     """Full product rows once per violated rule."""
-    names = _hits(list(pack.predicates().items()))
-    return products.select(F.explode(names).alias("rule_name"), *products.columns)
+    names = hits(list(pack.predicates().items()))
+    return products.selectExpr(f"explode({names}) AS rule_name", *[quoted(c) for c in products.columns])
 
 
 def count_violations(products: DataFrame, pack: Pack) -> DataFrame:
     """Violating rows per rule: one aggregate row, then unpivoted. Nothing but that row is shuffled."""
     preds = pack.predicates()
-    order = list(preds)
-    counts = products.agg(*[F.count_if(preds[name]).alias(name) for name in order])
-    pairs = ", ".join(f"'{name}', `{name}`" for name in order)
-    return counts.selectExpr(f"stack({len(order)}, {pairs}) AS (rule_name, violations)")
+    counts = products.selectExpr(*[f"count_if({p}) AS {quoted(name)}" for name, p in preds.items()])
+    pairs = ", ".join(f"{text_literal(name)}, {quoted(name)}" for name in preds)
+    return counts.selectExpr(f"stack({len(preds)}, {pairs}) AS (rule_name, violations)")
 
 
 def sample_violations(products: DataFrame, pack: Pack, limit: int = 5) -> DataFrame:

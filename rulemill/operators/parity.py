@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulemill.functions.stats import beta_bounds, ratio, wilson_bounds
-from rulemill.operators.evaluate import Pack
+from rulemill.operators.evaluate import WORD, Pack, hits, signature_word, text_literal
 from rulemill.operators.ranking import first_n_per_key
 from rulemill.schemas import PRODUCT_COLUMNS
 
@@ -44,16 +44,13 @@ def failed_case_rows(flags: DataFrame, products: DataFrame, limit: int = 10) ->
 def failed_cases_one_scan(products: DataFrame, baseline: Pack, candidate: Pack, limit: int = 10) -> DataFrame:
     """The same from the products alone: both packs are evaluated in the scan that carries the columns."""
     left, right = baseline.predicates(), candidate.predicates()
-    names = [n for n in left if n in right]
-    differing = F.array_remove(
-        F.array(*[F.when(left[n] != right[n], F.concat(F.lit(n), F.when(left[n], "+").otherwise("-"))).otherwise("")
-                  for n in names]), "")
-    rows = products.select("product_id", *CASE_COLUMNS, F.explode(differing).alias("hit")).select(
-        "product_id", *CASE_COLUMNS,
-        F.expr("substring(hit, 1, length(hit) - 1)").alias("rule_name"),
-        F.endswith("hit", F.lit("+")).alias("in_baseline"),
-        (~F.endswith("hit", F.lit("+"))).alias("in_candidate"),
-    )
+    shared = [n for n in left if n in right]
+    only_left = [(f"{n}\n+", f"{left[n]} AND NOT {right[n]}") for n in shared]
+    only_right = [(f"{n}\n-", f"{right[n]} AND NOT {left[n]}") for n in shared]
+    columns = ["product_id", *CASE_COLUMNS]
+    rows = products.selectExpr(*columns, f"explode({hits(only_left + only_right)}) AS hit").selectExpr(
+        *columns, "split_part(hit, '\\n', 1) AS rule_name", "hit LIKE '%+' AS in_baseline",
+        "hit LIKE '%-' AS in_candidate")
     return first_n_per_key(rows, ["rule_name"], [F.col("product_id")], limit, ["product_id"])
 
 
@@ -98,31 +95,33 @@ def count_flags(flags: DataFrame, products: DataFrame, rules: DataFrame) -> Data
 def pattern_counts(products: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """How often each combination of sources flags each rule, from one scan for all packs.
 
-    Only (rule, combination) counts are shuffled, at most rules x 2^packs rows per task. Product
+    Every product is reduced to its signature, one bit per rule in a long per pack, and equal
+    signatures are counted before the shuffle; the rules are taken apart only after that. Product
     ids must be unique. Columns: rule_name, mask (bit i set when pack i flags), n, products_tested.
     """
     names = list(dict.fromkeys(r.rule_name for pack in packs for r in pack.rules))
+    words = [names[at:at + WORD] for at in range(0, len(names), WORD)]
     preds = [pack.predicates() for pack in packs]
-    width = 2 ** len(packs)
-    codes = []
-    for position, name in enumerate(names):
-        mask = F.lit(0)
-        for bit, by_name in enumerate(preds):
-            if name in by_name:
-                mask = mask + F.when(by_name[name], 2 ** bit).otherwise(0)
-        codes.append(F.when(mask > 0, mask + F.lit((position + 1) * width)).otherwise(-1))
-    hits = F.array_remove(F.array(F.lit(0), *codes), -1)
-    counted = products.select(F.explode(hits).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy()  # over rules x 2^packs counted rows
-    tested = F.coalesce(F.max(F.when(F.col("code") == 0, F.col("n"))).over(everything), F.lit(0))
-    labels = F.array(*map(F.lit, names))
-    return (
-        counted.withColumn("products_tested", tested)
-        .where(F.col("code") > 0)
-        .select(
-            F.get(labels, (F.col("code") / width).cast("int") - 1).alias("rule_name"),
-            F.pmod(F.col("code"), F.lit(width)).alias("mask"), "n", "products_tested")
+    signature = [
+        f"{signature_word([by_name.get(name) for name in word])} AS s{bit}_{w}"
+        for w, word in enumerate(words) for bit, by_name in enumerate(preds)]
+    columns = [f"s{bit}_{w}" for w in range(len(words)) for bit in range(len(preds))]
+    counted = products.selectExpr(*signature).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+    def mask(position: int) -> str:
+        w, at = divmod(position, WORD)
+        return " + ".join(f"shiftleft(shiftright(s{bit}_{w}, {at}) & 1L, {bit})" for bit in range(len(preds)))
+
+    # the unnamed entry is carried by every product, so that the total comes from the same scan
+    entries = ["struct(CAST(NULL AS STRING) AS rule_name, 1L AS mask)"]
+    entries += [f"struct({text_literal(name)} AS rule_name, {mask(i)} AS mask)" for i, name in enumerate(names)]
+    spread = (
+        counted.selectExpr(f"inline(array({', '.join(entries)}))", "n").where("mask > 0")
+        .groupBy("rule_name", "mask").agg(F.sum("n").alias("n"))
     )
+    everything = Window.partitionBy()  # over at most rules x 2^packs rows
+    tested = F.coalesce(F.max(F.when(F.col("rule_name").isNull(), F.col("n"))).over(everything), F.lit(0))
+    return spread.withColumn("products_tested", tested).where(F.col("rule_name").isNotNull())
 
 
 def counts_by_source(products: DataFrame, baseline: Pack, candidates: Sequence[Pack]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulemill.functions import predicates as P
-from rulemill.functions.text import is_blank_spaces
+from rulemill.functions.text import blank_spaces_sql
 from rulemill.operators import evaluate as E
 from rulemill.registry import query
 from rulemill.registry.adapter import P_CTE, products
@@ -116,7 +116,7 @@ CANDIDATE_SQL = {
     "fat_over_105g": "fat > 100",
     "carbohydrates_over_105g": "carbohydrates > 50",
 }
-CANDIDATE = E.Pack("candidate", CANDIDATE_RULES, is_blank_spaces)
+CANDIDATE = E.Pack("candidate", CANDIDATE_RULES, blank_spaces_sql)
 C_CTE = "c AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS rule_name, product_id FROM p WHERE {s}" for n, s in CANDIDATE_SQL.items()) + ")"
 

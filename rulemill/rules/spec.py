@@ -7,8 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.functions import predicates as P
-from rulemill.functions.text import is_blank
+from rulemill.functions.text import blank_sql
 from rulemill.schemas import RULE_SCHEMA
 
 # Names of the condition shapes.
@@ -17,6 +16,14 @@ SCALED, AFFINE = "scaled_field_comparison", "affine_field_comparison"
 SUM, COMPOUND = "sum_fields_comparison", "compound_threshold_and"
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _sql_operator(op: str) -> str:
+    return {"==": "=", "!=": "<>"}.get(op, op)
+
+
 def plain_number(x: float) -> str:
     return f"{x:.15g}"
 
@@ -74,28 +81,35 @@ class Rule:
         names = [*self.left, *([self.right] if self.right else []), *[c[0] for c in self.clauses]]
         return tuple(dict.fromkeys(names))
 
-    def predicate(
-        self,
-        blank: Callable[[Column], Column] = is_blank,
-        get: Callable[[str], Column] = F.col,
-    ) -> Column:
-        kind = self.condition_type
+    def expression(self, blank: Callable[[str], str] = blank_sql) -> str:
+        """The predicate as one SQL expression that is never null, with double constants.
+
+        Text rather than nested columns: a pack of many rules is then parsed in a single call.
+        """
+        kind, op = self.condition_type, _sql_operator(self.operator)
         if kind == MISSING:
-            return F.lit(False) if self.variant == "and" else P.missing_field(get(self.left[0]), blank)
-        if kind == FIELD:
-            return P.field_comparison(get(self.left[0]), self.operator, get(self.right))
-        if kind == THRESHOLD:
-            return P.field_threshold(get(self.left[0]), self.operator, self.threshold)
-        if kind == SCALED:
-            return P.scaled_comparison(get(self.left[0]), self.operator, get(self.right), self.factor)
-        if kind == AFFINE:
-            return P.affine_comparison(get(self.left[0]), self.operator, get(self.right), self.factor, self.offset)
-        if kind == SUM:
-            return P.sum_comparison(get(self.left[0]), get(self.left[1]), self.operator, get(self.right),
-                                    self.offset, minus=self.variant == "minus")
+            return "false" if self.variant == "and" else f"({blank(quoted(self.left[0]))})"
         if kind == COMPOUND:
-            return P.compound_and([(get(name), op, x) for name, op, x in self.clauses])
-        raise ValueError(f"unknown condition type {kind!r}")
+            tests = [f"{quoted(name)} {_sql_operator(o)} {float(x)!r}D" for name, o, x in self.clauses]
+            return f"coalesce({' AND '.join(tests)}, false)"
+        left = quoted(self.left[0])
+        if kind == THRESHOLD:
+            right = f"{float(self.threshold)!r}D"
+        elif kind == FIELD:
+            right = quoted(self.right)
+        elif kind == SCALED:
+            right = f"{quoted(self.right)} * {float(self.factor)!r}D"
+        elif kind == AFFINE:
+            right = f"{float(self.factor)!r}D * {quoted(self.right)} + {float(self.offset)!r}D"
+        elif kind == SUM:
+            left = f"{left} {'-' if self.variant == 'minus' else '+'} {quoted(self.left[1])}"
+            right = f"{quoted(self.right)} + {float(self.offset)!r}D"
+        else:
+            raise ValueError(f"unknown condition type {kind!r}")
+        return f"coalesce({left} {op} {right}, false)"
+
+    def predicate(self, blank: Callable[[str], str] = blank_sql) -> Column:
+        return F.expr(self.expression(blank))
 
     def with_(self, **changes) -> "Rule":
         return replace(self, **changes)
