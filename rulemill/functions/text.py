@@ -11,10 +11,12 @@ SPACES = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
-# Number spellings (digits may be grouped by single underscores).
-NUMBER_PATTERN = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+# Spellings of whole numbers and of any number (single underscores may group digits).
 INTEGER_PATTERN = r"^[+-]?\d+(_\d+)*$"
-INFINITY_PATTERN = r"(?i)^[+-]?inf(inity)?$"
+_DIGITS = r"\d+(_\d+)*"
+_NUMBER = rf"[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?"
+NUMBER_PATTERN = rf"^{_NUMBER}$"
+NUMBER_OR_INFINITY = rf"^[{SPACES_SQL}]*({_NUMBER}|[+-]?(?i:inf(inity)?))[{SPACES_SQL}]*$"
 # Words that stand for an empty cell.
 EMPTY_WORDS = ("", "nan", "none", "null")
 
@@ -48,22 +50,22 @@ def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def to_number(c: Column) -> Column:
-    """Text to double; anything that is not wholly a number gives null, NaN included."""
-    text = strip(c)
-    return (
-        F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(text.rlike(INFINITY_PATTERN),
-              F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    )
+def number_text(*cols: Column) -> Column:
+    """The first text that spells a number, spaces around it removed; not-a-number counts as none."""
+    return strip(F.coalesce(*[F.when(c.rlike(NUMBER_OR_INFINITY), c) for c in cols]))
 
 
-def first_number(*cols: Column) -> Column:
-    return F.coalesce(*[to_number(c) for c in cols])
+def parse_number(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
 
 
-def drop_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def to_number(c: Column) -> Column:
+    """Text to double; anything that is not wholly a number gives null."""
+    return parse_number(number_text(c))
+
+
+def first_number(*cols: Column) -> Column:
+    return parse_number(number_text(*cols))
 
 
 def normalize_optional_text(c: Column) -> Column:

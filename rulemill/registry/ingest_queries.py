@@ -98,8 +98,10 @@ _part("fop_threshold_flag", "fop_threshold_exceeded")
   CASE WHEN n % 2 = 0 THEN sodium ELSE round(sodium * CAST(0.393 AS DOUBLE), 4) END AS sodium FROM q""")
 def sodium_from_salt(spark, sf_dir):
     p = numbered(spark, sf_dir)
-    key = F.when(F.col("n") % 2 == 0, F.lit("sodium")).otherwise(F.lit("salt"))
-    food = F.map_from_arrays(F.array(key), F.array(F.col("sodium").cast("string")))
+    amount, even = F.col("sodium").cast("string"), F.col("n") % 2 == 0
+    names = (*I.NUTRIENT_KEYS["sodium"], *I.SALT_KEYS)
+    given = {"sodium": F.when(even, amount), "salt": F.when(~even, amount)}
+    food = F.struct(*[given.get(k, F.lit(None).cast("string")).alias(k) for k in names])
     return p.select("product_id", I.sodium_or_salt(
         I.nutrient(food, I.NUTRIENT_KEYS["sodium"]), I.nutrient(food, I.SALT_KEYS)).alias("sodium"))
 

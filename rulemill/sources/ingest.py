@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulemill.functions.text import drop_nan, first_number, non_empty, strip, to_number
+from rulemill.functions.text import first_number, non_empty, number_text, parse_number, strip, to_number
 from rulemill.schemas import (
     FLAG_COLUMNS, NUMBER_COLUMNS, PRODUCT_COLUMNS, PRODUCT_SCHEMA, column_type,
 )
@@ -34,7 +34,9 @@ _TEXT_FIELDS = (
 _TAG_FIELDS = ("allergens_tags", "labels_tags", "categories_tags")
 RAW_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in _TEXT_FIELDS]
-    + [T.StructField("nutriments", T.MapType(T.StringType(), T.StringType()))]
+    + [T.StructField("nutriments", T.StructType([
+        T.StructField(key, T.StringType())
+        for key in dict.fromkeys((*sum(NUTRIENT_KEYS.values(), ()), *SALT_KEYS))]))]
     + [T.StructField(name, T.ArrayType(T.StringType())) for name in _TAG_FIELDS]
     + [T.StructField(name, T.StringType()) for name in PRODUCT_COLUMNS if name not in _TEXT_FIELDS])
 _JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
@@ -43,7 +45,8 @@ _JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 # ---- scalar extractions -------------------------------------------------------------------
 
 def nutrient(nutriments: Column, keys: tuple[str, ...]) -> Column:
-    return drop_nan(first_number(*[F.try_element_at(nutriments, F.lit(key)) for key in keys]))
+    """The first numeric value under any of the keys of a struct of texts."""
+    return first_number(*[nutriments.getField(key) for key in keys])
 
 
 def sodium_or_salt(sodium: Column, salt: Column) -> Column:
@@ -94,67 +97,99 @@ def symbol_required(sugars: Column, saturated_fat: Column, sodium: Column) -> Co
 
 # ---- whole records ------------------------------------------------------------------------
 
-def extract_raw(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed raw documents (RAW_SCHEMA columns) to product rows; rows without an id are dropped."""
-    food = F.col("nutriments")
-    numbers = docs.select(
-        extract_product_id(F.col("code"), F.col("_id"), F.col("id")).alias("product_id"),
-        *[nutrient(food, keys).alias(name) for name, keys in NUTRIENT_KEYS.items()],
-        nutrient(food, SALT_KEYS).alias("_salt"),
-        strip(F.coalesce("ingredients_text", F.lit(""))).alias("ingredients_text"),
-        flag(contains_statement(F.col("allergens"), F.col("traces"), F.col("allergens_tags")))
-        .alias("contains_statement_present"),
-        flag(has_text(F.col("allergens_from_ingredients"))).alias("_from_ingredients"),
-        flag(any_tag_contains(F.col("labels_tags"), SYMBOL_LABELS)).alias("fop_symbol_present"),
-        flag(any_tag_contains(F.col("categories_tags"), EXEMPT_CATEGORIES)).alias("fop_exempt_proxy"),
-        "lc", "lang", language_code(F.col("lc"), F.col("lang")).alias("language_code"), *keep,
-    ).where(F.col("product_id").isNotNull())
-    derived = numbers.withColumns({
-        "sodium": sodium_or_salt(F.col("sodium"), F.col("_salt")),
-        "ingredients_text_present": flag(F.col("ingredients_text") != ""),
-        "allergen_evidence_present": F.greatest("contains_statement_present", "_from_ingredients"),
-        "product_is_prepackaged_proxy": F.lit(1),
-    }).withColumn("fop_threshold_exceeded", symbol_required(F.col("sugars"), F.col("saturated_fat"), F.col("sodium")))
-    return derived.select(*PRODUCT_COLUMNS, *keep)
-
-
 def cast_product_column(name: str, c: Column) -> Column:
     if name in NUMBER_COLUMNS or name in FLAG_COLUMNS:
-        number = F.when(c == "true", 1.0).when(c == "false", 0.0).otherwise(drop_nan(to_number(c)))
-        return number.try_cast(column_type(name))
-    return c
+        return to_number(truth_as_number(c)).try_cast(column_type(name))
+    return F.coalesce(c, F.lit("None")) if name == "product_id" else c
 
 
-def project_normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents that already have the product columns, as text, to typed product rows."""
-    return docs.select(
-        F.coalesce("product_id", F.lit("None")).alias("product_id"),
-        *[cast_product_column(name, F.col(name)).alias(name) for name in PRODUCT_COLUMNS[1:]], *keep)
+def truth_as_number(c: Column) -> Column:
+    return F.when(c == "true", "1").when(c == "false", "0").otherwise(c)
+
+
+def product_texts() -> dict[str, Column]:
+    """Per product column the value or number text that the layout of a document provides."""
+    ready, food = F.col("is_normalized"), F.col("nutriments")
+
+    def pick(name: str, raw: Column) -> Column:
+        return F.when(ready, F.col(name)).otherwise(raw)
+
+    numbers = {
+        name: number_text(F.when(ready, truth_as_number(F.col(name))), *[
+            F.when(~ready, food.getField(key)) for key in keys])
+        for name, keys in NUTRIENT_KEYS.items()}
+    raw_flags = {
+        "contains_statement_present":
+            flag(contains_statement(F.col("allergens"), F.col("traces"), F.col("allergens_tags"))),
+        "allergen_evidence_present": flag(has_text(F.col("allergens_from_ingredients"))),
+        "fop_symbol_present": flag(any_tag_contains(F.col("labels_tags"), SYMBOL_LABELS)),
+        "fop_exempt_proxy": flag(any_tag_contains(F.col("categories_tags"), EXEMPT_CATEGORIES)),
+        "product_is_prepackaged_proxy": F.lit(1),
+        "ingredients_text_present": F.lit(None),
+        "fop_threshold_exceeded": F.lit(None),
+    }
+    ready_flag = {name: to_number(truth_as_number(F.col(name))).try_cast("int") for name in FLAG_COLUMNS}
+    return {
+        "product_id": F.when(ready, F.coalesce("product_id", F.lit("None"))).otherwise(
+            extract_product_id(F.col("code"), F.col("_id"), F.col("id"))),
+        **numbers,
+        "_salt": number_text(*[F.when(~ready, food.getField(key)) for key in SALT_KEYS]),
+        "ingredients_text": pick("ingredients_text", strip(F.coalesce("ingredients_text", F.lit("")))),
+        **{name: F.when(ready, ready_flag[name]).otherwise(raw) for name, raw in raw_flags.items()},
+        "lc": F.col("lc"), "lang": F.col("lang"),
+        "language_code": pick("language_code", language_code(F.col("lc"), F.col("lang"))),
+        "is_normalized": ready,
+    }
+
+
+def derive_columns(rows: DataFrame) -> DataFrame:
+    """The columns that the raw layout leaves to be computed from other product columns."""
+    raw = ~F.col("is_normalized")
+    salted = rows.withColumn(
+        "sodium", F.when(raw, sodium_or_salt(F.col("sodium"), F.col("_salt"))).otherwise(F.col("sodium")))
+    computed = {
+        "ingredients_text_present": flag(F.col("ingredients_text") != ""),
+        "allergen_evidence_present": F.greatest("contains_statement_present", "allergen_evidence_present"),
+        "fop_threshold_exceeded": symbol_required(F.col("sugars"), F.col("saturated_fat"), F.col("sodium")),
+    }
+    return salted.withColumns({n: F.when(raw, c).otherwise(F.col(n)) for n, c in computed.items()})
 
 
 def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """JSON text lines to typed raw documents; blank, malformed and non-object lines vanish.
 
     Adds is_normalized: the line names product_id and at least one other product column. The keys
-    are only listed for lines in which that name occurs at all.
+    are only listed for lines in which that name occurs at all. The document is unpacked by a
+    generator, which runs once per line: later filters cannot be pushed below it and parse again.
     """
     text = strip(F.col("value"))
     known = F.array(*map(F.lit, PRODUCT_COLUMNS[1:]))
-    objects = lines.where(text.startswith("{") & text.endswith("}")).withColumn(
-        "doc", F.from_json("value", RAW_SCHEMA, _JSON))
     keys = F.json_object_keys(F.col("value"))
     normalized = F.when(
         F.contains(F.col("value"), F.lit('"product_id"')),
         F.coalesce(F.array_contains(keys, "product_id") & F.arrays_overlap(keys, known), F.lit(False)),
     ).otherwise(False)
-    return objects.select("doc.*", normalized.alias("is_normalized"), *keep)
+    document = F.from_json("value", RAW_SCHEMA, _JSON)
+    return lines.where(text.startswith("{") & text.endswith("}")).select(
+        F.inline(F.array(F.struct(document.alias("doc"), normalized.alias("is_normalized")))), *keep,
+    ).select("doc.*", "is_normalized", *keep)
+
+
+def project_normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that already have the product columns, as text, to typed product rows."""
+    return docs.select(*[cast_product_column(n, F.col(n)).alias(n) for n in PRODUCT_COLUMNS], *keep)
 
 
 def extract_products(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """JSON text lines (column value) to product rows, whichever of the two layouts a line has."""
-    docs = parse_lines(lines, keep)
-    return project_normalized(docs.where("is_normalized"), keep).unionByName(
-        extract_raw(docs.where("NOT is_normalized"), keep))
+    """JSON text lines (column value) to product rows, whichever of the two layouts a line has.
+
+    One pass: both layouts come from the same parsed document, chosen row by row. Documents in the raw
+    layout without an id are dropped. Texts are chosen first and converted after that, so each number
+    is parsed once.
+    """
+    texts = parse_lines(lines, keep).select(*[c.alias(n) for n, c in product_texts().items()], *keep)
+    numbers = texts.withColumns({n: parse_number(F.col(n)) for n in (*NUMBER_COLUMNS, "_salt")})
+    return derive_columns(numbers.where(F.col("product_id").isNotNull())).select(*PRODUCT_COLUMNS, *keep)
 
 
 ORDER = ("_path", "_block", "_line")
