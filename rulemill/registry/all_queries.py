@@ -1,2 +1,2 @@
 """Import every module that registers queries."""
-from rulemill.registry import core, ingest_queries, parity_queries  # noqa: F401
+from rulemill.registry import catalog_queries, core, ingest_queries, parity_queries  # noqa: F401
