@@ -78,13 +78,14 @@ def fixed_decimals(c: Column, digits: int) -> Column:
     return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
 
 
-def format_value(c: Column, kind: str) -> Column:
-    """Display text: doubles with at most three decimals, null as the word blank."""
-    if kind == "double":
-        shown = F.regexp_replace(fixed_decimals(c, 3), r"\.?0+$", "")
-    else:
-        shown = c.cast("string")
-    return F.coalesce(shown, F.lit("blank"))
+def format_value_sql(name: str, is_double: bool) -> str:
+    """SQL for display text: doubles with at most three decimals, null as the word blank."""
+    shown = rf"regexp_replace(replace(format_number({name}, 3), ',', ''), '\\.?0+$', '')"
+    return f"coalesce({shown if is_double else f'CAST({name} AS STRING)'}, 'blank')"
+
+
+def format_value(name: str, is_double: bool) -> Column:
+    return F.expr(format_value_sql(f"`{name}`", is_double))
 
 
 def percent(c: Column) -> Column:

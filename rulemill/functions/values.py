@@ -21,25 +21,20 @@ def null_value() -> Column:
     return typed(F.lit("null"), F.lit(None).cast("string"))
 
 
-def int_value(c: Column) -> Column:
-    return typed(F.when(c.isNull(), "null").otherwise("int"), c)
-
-
-def double_value(c: Column) -> Column:
-    return typed(F.when(c.isNull(), "null").otherwise("double"), double_text(c))
-
-
-def string_value(c: Column) -> Column:
-    return typed(F.when(c.isNull(), "null").otherwise("string"), c)
-
-
-def column_value(name: str, c: Column) -> Column:
-    """The value of a product column with the kind that its type implies."""
-    if name in NUMBER_COLUMNS:
-        return double_value(c)
-    if name in FLAG_COLUMNS:
-        return int_value(c)
-    return string_value(c)
+def column_value(field: str, columns: dict[str, str]) -> Column:
+    """The value of the product column that the SQL reference field names, with the kind of its type.
+
+    columns maps the names to SQL references; numbers are chosen first and printed once.
+    """
+    def choose(names) -> Column:
+        cases = " ".join(f"WHEN '{n}' THEN {columns[n]}" for n in columns if n in names)
+        return F.expr(f"CASE {field} {cases} END")
+
+    number, flag = double_text(choose(NUMBER_COLUMNS)), choose(FLAG_COLUMNS).cast("string")
+    text = choose([n for n in columns if n not in NUMBER_COLUMNS and n not in FLAG_COLUMNS])
+    kind = (F.when(number.isNotNull(), "double").when(flag.isNotNull(), "int").when(text.isNotNull(), "string")
+            .otherwise("null"))
+    return typed(kind, F.coalesce(number, flag, text))
 
 
 def whole_number_text(text: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.functions.text import fixed_decimals
-from rulemill.functions.values import double_value, int_value, null_value, string_value
+from rulemill.functions.text import double_text, fixed_decimals
+from rulemill.functions.values import typed
 from rulemill.operators.issues import OVER_LIMIT, over_limit_field
 from rulemill.schemas import FIX, REVIEW_COLUMNS
 
@@ -168,22 +168,33 @@ def templates_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"family string, templates array<{_TEMPLATE}>")
 
 
-def _formulas() -> dict[str, Column]:
-    """Proposed values by formula name, from the columns of the product row."""
-    def n(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0.0))
-
-    text = {name: string_value(F.coalesce(F.col(name), F.lit(""))) for name in ("lc", "lang", "language_code")}
-    return {
-        "105.0": double_value(F.lit(105.0)), "3911.0": double_value(F.lit(3911.0)),
-        "1": int_value(F.lit(1)), "0": int_value(F.lit(0)), "null": null_value(), "": string_value(F.lit("")),
-        "kj_from_kcal": double_value(F.round(n("energy_kcal") * KJ_PER_KCAL, 2)),
-        "kcal_from_kj": double_value(F.round(n("energy_kj") / KJ_PER_KCAL, 2)),
-        "sugars_plus_starch": double_value(F.round(n("sugars") + n("starch"), 3)),
-        "carbohydrates_left": double_value(F.round(F.greatest(n("carbohydrates") - n("sugars"), F.lit(0.0)), 3)),
-        **{name: double_value(F.col(name)) for name in ("energy_kj", "energy_kj_computed", "fat", "saturated_fat")},
-        **text,
-    }
+# SQL of the proposed values by formula name, from the columns of the product row.
+_KJ = f"round(coalesce(energy_kcal, 0D) * {KJ_PER_KCAL}D, 2)"
+_KCAL = f"round(coalesce(energy_kj, 0D) / {KJ_PER_KCAL}D, 2)"
+NUMBER_FORMULAS = {
+    "105.0": "105D", "3911.0": "3911D", "kj_from_kcal": _KJ, "kcal_from_kj": _KCAL,
+    "sugars_plus_starch": "round(coalesce(sugars, 0D) + coalesce(starch, 0D), 3)",
+    "carbohydrates_left": "round(greatest(coalesce(carbohydrates, 0D) - coalesce(sugars, 0D), 0D), 3)",
+    **{name: name for name in ("energy_kj", "energy_kj_computed", "fat", "saturated_fat")},
+}
+TEXT_FORMULAS = {"": "''", **{name: f"coalesce({name}, '')" for name in ("lc", "lang", "language_code")}}
+FLAG_FORMULAS = ("0", "1")
+
+
+def proposed_value(formula: Column) -> Column:
+    """The typed value of a formula: a number, a text, a flag or null."""
+    def choose(table: dict[str, str]) -> Column:
+        out = F.lit(None)
+        for name, sql in table.items():
+            out = F.when(formula == name, F.expr(sql)).otherwise(out)
+        return out
+
+    number = double_text(choose(NUMBER_FORMULAS).cast("double"))
+    text = choose(TEXT_FORMULAS)
+    flag = F.when(formula.isin(*FLAG_FORMULAS), formula)
+    kind = (F.when(number.isNotNull(), "double").when(text.isNotNull(), "string").when(flag.isNotNull(), "int")
+            .otherwise("null"))
+    return typed(kind, F.coalesce(number, text, flag))
 
 
 def with_fixes(issues: DataFrame) -> DataFrame:
@@ -193,14 +204,8 @@ def with_fixes(issues: DataFrame) -> DataFrame:
     manual = F.array(F.struct(*map(F.lit, MANUAL_FIX)).cast(_TEMPLATE))
     field = over_limit_field(F.col("rule_name"))
 
-    def value(t: Column) -> Column:
-        out = None
-        for name, made in _formulas().items():
-            out = F.when(t["formula"] == name, made) if out is None else out.when(t["formula"] == name, made)
-        return out
-
     def make(t: Column) -> Column:
-        proposed = value(t)
+        proposed = proposed_value(t["formula"])
         change = F.replace(F.replace(t["change"], F.lit("{label}"), F.replace(field, F.lit("_"), F.lit(" "))),
                            F.lit("{value}"), F.coalesce(proposed["value"], F.lit("")))
         return F.struct(

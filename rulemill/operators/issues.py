@@ -1,11 +1,13 @@
 """Violations to reviewable issues. Rule texts are prepared once per rule and broadcast; rows never shuffle."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemill.functions import hashing
-from rulemill.functions.text import format_value
+from rulemill.functions.text import format_value_sql
 from rulemill.operators.evaluate import Pack, violation_rows
 from rulemill.operators.ranking import first_n_per_key
 from rulemill.schemas import NUMBER_COLUMNS, PRODUCT_COLUMNS
@@ -97,42 +99,40 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     })
 
 
-def shown(name: str) -> Column:
-    return format_value(F.col(name), "double" if name in NUMBER_COLUMNS else "other")
-
-
-def raw_text(name: str) -> Column:
-    return F.col(name).cast("string")
+def shown_sql(name: str) -> str:
+    """SQL for the display text of a product column."""
+    return format_value_sql(name, name in NUMBER_COLUMNS)
 
 
-def _by_field(make) -> Column:
-    """A map from column name to text; built once per row, looked into per field."""
-    pairs = [x for name in PRODUCT_COLUMNS for x in (F.lit(name), make(name))]
-    return F.create_map(*pairs)
+def by_field_sql(make) -> str:
+    """SQL of a lambda body: the text of the column that f names. Only that column is formatted."""
+    cases = " ".join(f"WHEN '{name}' THEN {make(name)}" for name in PRODUCT_COLUMNS)
+    return f"CASE f {cases} END"
 
 
-def current_values(fields: Column) -> Column:
-    texts = _by_field(raw_text)
-    return F.map_from_arrays(fields, F.transform(fields, lambda f: F.try_element_at(texts, f)))
+CURRENT_VALUES = f"map_from_arrays(fields, transform(fields, f -> {by_field_sql(lambda n: f'CAST(`{n}` AS STRING)')}))"
+CURRENT_DISPLAY = f"array_join(transform(fields, f -> concat(f, '=', {by_field_sql(shown_sql)})), ', ')"
 
 
-def current_values_display(fields: Column) -> Column:
-    texts = _by_field(shown)
-    return F.array_join(F.transform(fields, lambda f: F.concat(f, F.lit("="), F.try_element_at(texts, f))), ", ")
+def fill_sql(template: str, **values: str) -> str:
+    """SQL for a text with expressions in the braces."""
+    parts = [f"'{part}'" if at % 2 == 0 else values[part]
+             for at, part in enumerate(re.split(r"[{}]", template))]
+    return f"concat({', '.join(parts)})"
 
 
-def issue_description(rule_name: Column, condition: Column) -> Column:
-    limited = {f"{n}{OVER_LIMIT}": n for n in NUMBER_COLUMNS}
-    value = F.lit("blank")
-    for rule, field in limited.items():
-        value = F.when(rule_name == rule, shown(field)).otherwise(value)
-    values = {name: shown(name) for name in NUMBER_COLUMNS}
-    out = F.when(rule_name.endswith(OVER_LIMIT), fill(DESCRIBE_LIMIT, name=over_limit_name(rule_name), value=value))
-    for name, text in DESCRIPTIONS.items():
-        out = out.when(rule_name == name, fill(text, **values))
-    return (
-        out.when(F.contains(rule_name, F.lit("mismatch")), fill(DESCRIBE_MISMATCH, condition=condition))
-        .otherwise(fill(DESCRIBE_OTHER, condition=condition)))
+def description_sql() -> str:
+    """SQL over rule_name, condition and the product columns."""
+    name = f"initcap(replace(replace(rule_name, '{OVER_LIMIT}', ''), '_', ' '))"
+    limited = " ".join(f"WHEN '{n}{OVER_LIMIT}' THEN {shown_sql(n)}" for n in NUMBER_COLUMNS)
+    values = {n: shown_sql(n) for n in NUMBER_COLUMNS}
+    own = " ".join(f"WHEN rule_name = '{rule}' THEN {fill_sql(text, **values)}" for rule, text in DESCRIPTIONS.items())
+    return f"""CASE
+        WHEN rule_name LIKE '%{OVER_LIMIT.replace('_', chr(92) * 2 + '_')}' THEN {fill_sql(
+            DESCRIBE_LIMIT, name=name, value=f"CASE rule_name {limited} ELSE 'blank' END")}
+        {own}
+        WHEN contains(rule_name, 'mismatch') THEN {fill_sql(DESCRIBE_MISMATCH, condition='condition')}
+        ELSE {fill_sql(DESCRIBE_OTHER, condition='condition')} END"""
 
 
 ISSUE_COLUMNS = (
@@ -152,9 +152,9 @@ def build_issues(violations: DataFrame, rules: DataFrame) -> DataFrame:
     joined = violations.join(F.broadcast(prepare_rules(rules)), "rule_name")
     return joined.withColumns({
         "issue_id": hashing.issue_id(F.col("rule_name"), F.col("product_id")),
-        "issue_description": issue_description(F.col("rule_name"), F.col("condition")),
-        "current_values": current_values(F.col("fields")),
-        "current_values_display": current_values_display(F.col("fields")),
+        "issue_description": F.expr(description_sql()),
+        "current_values": F.expr(CURRENT_VALUES),
+        "current_values_display": F.expr(CURRENT_DISPLAY),
     })
 
 

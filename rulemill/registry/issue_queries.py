@@ -189,9 +189,9 @@ def current_values_display(spark, sf_dir):
   {shown_sql('sodium')} AS sodium, coalesce(lang, 'blank') AS lang FROM p""")
 def format_value_query(spark, sf_dir):
     return products(spark, sf_dir).select(
-        "product_id", format_value(F.col("energy_kj"), "double").alias("kj"),
-        format_value(F.col("starch"), "double").alias("starch"), format_value(F.col("sodium"), "double").alias("sodium"),
-        format_value(F.col("lang"), "text").alias("lang"))
+        "product_id", format_value("energy_kj", True).alias("kj"),
+        format_value("starch", True).alias("starch"), format_value("sodium", True).alias("sodium"),
+        format_value("lang", False).alias("lang"))
 
 
 _JOIN_COLUMNS = ("issue_id, product_id, rule_name, tag, severity, jurisdiction, condition, condition_type,"

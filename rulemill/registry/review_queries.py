@@ -21,6 +21,7 @@ from rulemill.registry.rule_sql import RULE_SQL
 from rulemill.operators import issues as I
 from rulemill.rules.spec import SHIPPED, rules_frame
 from rulemill.schemas import PRODUCT_COLUMNS
+from rulemill.session import materialize
 
 # A reviewed sheet made from the issues; h is the issue id read as a number, m says what the reviewer did.
 # Copies of some rows carry errors: repeated, unknown and empty issue ids. The same text runs in both engines.
@@ -63,13 +64,18 @@ def _sheet(spark, found, text: str, copies: bool):
     return spark.sql(body.replace('{"fat"', '{{"fat"').replace('"de"}', '"de"}}'), s=rows)
 
 
+def written_issues(spark, sf_dir):
+    """Issues as a written table, which is what a review starts from."""
+    return materialize(ranked(spark, sf_dir).select(*I.ISSUE_COLUMNS, "fix_candidates"), "issues")
+
+
 def bad_sheet(spark, sf_dir):
-    found = ranked(spark, sf_dir)
+    found = written_issues(spark, sf_dir)
     return _sheet(spark, found, _BAD, True), found
 
 
 def good_sheet(spark, sf_dir):
-    found = ranked(spark, sf_dir)
+    found = written_issues(spark, sf_dir)
     return _sheet(spark, found, _GOOD, False), found
 
 
@@ -315,6 +321,11 @@ def patches(spark, sf_dir):
     return A.patch_chain(A.approved_changes(decided), p), decided, p
 
 
+def written_patches(spark, sf_dir):
+    rows, decided, p = patches(spark, sf_dir)
+    return materialize(rows, "patches"), decided, p
+
+
 @query("patch_chain", f"""{WITH_PATCHES} SELECT row_idx, issue_id, product_id, field, source_fix_id, source_kind,
   {_NUM.format(v='old_value', k='old_kind', n='old')}, {_NUM.format(v='new_value', k='new_kind', n='new')} FROM pt""")
 def patch_chain(spark, sf_dir):
@@ -355,7 +366,7 @@ PATCHED_SQL = f"""lp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query("apply_patches_join", f"{WITH_PATCHES}, {PATCHED_SQL} SELECT * FROM np")
 def apply_patches_join(spark, sf_dir):
-    rows, _, p = patches(spark, sf_dir)
+    rows, _, p = written_patches(spark, sf_dir)
     return A.apply_patches(p, rows)
 
 
@@ -366,7 +377,7 @@ def apply_patches_join(spark, sf_dir):
   (SELECT count(*) FROM pt) AS applied_patch_count, (SELECT count(DISTINCT product_id) FROM pt) AS changed_products
 FROM dd""")
 def apply_summary(spark, sf_dir):
-    rows, decided, p = patches(spark, sf_dir)
+    rows, decided, p = written_patches(spark, sf_dir)
     return A.apply_summary(decided, rows, p)
 
 
@@ -550,7 +561,7 @@ WITH_AFTER = f"WITH {AFTER_CTE}"
 
 
 def before_after(spark, sf_dir):
-    rows, _, p = patches(spark, sf_dir)
+    rows, _, p = written_patches(spark, sf_dir)
     return issues(spark, sf_dir), I.issues_join(A.apply_patches(p, rows), BASE, issue_rules(spark))
 
 
@@ -633,6 +644,9 @@ SELECT issue_id, CASE WHEN st <> 'applied' THEN st WHEN issue_id IN (SELECT issu
   ELSE 'revalidated_resolved' END AS issue_status FROM ap""")
 def revalidated_status(spark, sf_dir):
     sheet, found = good_sheet(spark, sf_dir)
-    applied = R.status_update_join(sheet, R.status_updates_applied(R.decisions(sheet, found)))
-    _, after = before_after(spark, sf_dir)
+    decided = R.decisions(sheet, found)
+    applied = R.status_update_join(sheet, R.status_updates_applied(decided))
+    p = products(spark, sf_dir)
+    made = materialize(A.patch_chain(A.approved_changes(decided), p), "patches")
+    after = I.issues_join(A.apply_patches(p, made), BASE, issue_rules(spark))
     return R.status_update_join(applied, R.revalidated_updates(applied, after)).select("issue_id", "issue_status")
