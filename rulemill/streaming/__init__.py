@@ -1,0 +1 @@
+"""Nothing of its own: tags and verdicts are stateless projections and run on streaming DataFrames as they are."""
