@@ -32,7 +32,7 @@ def feedback_events(decided: DataFrame) -> DataFrame:
         F.filter("fix_candidates", lambda f: (f["fix_id"] != fix["fix_id"]) & (f["fix_strategy"] != fix["fix_strategy"])),
         lambda f: vote(f["fix_strategy"], F.lit(False)))).otherwise(nothing)
     edits = F.when(F.size("manual_changes") > 0, F.array(vote(F.lit(MANUAL_STRATEGY), F.lit(True)))).otherwise(nothing)
-    return decided.select("rule_name", F.inline(F.concat(chosen, rivals, edits)))
+    return decided.select("rule_name", F.inline_outer(F.concat(chosen, rivals, edits))).where("fix_strategy IS NOT NULL")
 
 
 def count_votes(events: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.functions.text import double_text, fixed_decimals
-from rulemill.functions.values import typed
-from rulemill.operators.issues import OVER_LIMIT, over_limit_field
+from rulemill.operators.issues import OVER_LIMIT
 from rulemill.schemas import FIX, REVIEW_COLUMNS
 
 KJ_PER_KCAL = 4.184  # fixed value
@@ -162,10 +161,13 @@ def fix_family(rule_name: Column) -> Column:
         .otherwise(rule_name))
 
 
+SLOTS = (0, 1)  # fixes of a family before the manual one
+
+
 def templates_frame(spark: SparkSession) -> DataFrame:
-    """One row per family: a fixed table of fourteen rows."""
-    rows = [(family, [*fixes, MANUAL_FIX]) for family, fixes in FIXES.items()]
-    return spark.createDataFrame(rows, f"family string, templates array<{_TEMPLATE}>")
+    """One row per family with a struct column per slot: a fixed table of fourteen rows."""
+    rows = [(family, *fixes) for family, fixes in FIXES.items()]
+    return spark.createDataFrame(rows, "family string, " + ", ".join(f"t{k} {_TEMPLATE}" for k in SLOTS))
 
 
 # SQL of the proposed values by formula name, from the columns of the product row.
@@ -181,44 +183,52 @@ TEXT_FORMULAS = {"": "''", **{name: f"coalesce({name}, '')" for name in ("lc", "
 FLAG_FORMULAS = ("0", "1")
 
 
-def proposed_value(formula: Column) -> Column:
-    """The typed value of a formula: a number, a text, a flag or null."""
-    def choose(table: dict[str, str]) -> Column:
-        out = F.lit(None)
-        for name, sql in table.items():
-            out = F.when(formula == name, F.expr(sql)).otherwise(out)
-        return out
+def _choose(formula: str, table: dict[str, str]) -> str:
+    return f"CASE {formula} " + " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in table.items()) + " END"
+
+
+def _fix_sql(k: int) -> str:
+    """SQL of the fix in slot k from its template t<k>, its number text v<k> and its other text s<k>."""
+    field = f"replace(rule_name, '{OVER_LIMIT}', '')"
+    value = f"coalesce(v{k}, s{k})"
+    change = f"replace(replace(t{k}.change, '{{label}}', replace({field}, '_', ' ')), '{{value}}', coalesce({value}, ''))"
+    kind = (f"CASE WHEN v{k} IS NOT NULL THEN 'double' WHEN s{k} IS NULL THEN 'null'"
+            f" WHEN t{k}.formula IN ('0', '1') THEN 'int' ELSE 'string' END")
+    return f"""named_struct('fix_id', concat(issue_id, '_', t{k}.suffix), 'suggested_change', {change},
+        'target_field', replace(t{k}.target, '{{field}}', {field}),
+        'new_value', named_struct('kind', {kind}, 'value', {value}), 'confidence', t{k}.confidence,
+        'explanation', t{k}.explanation, 'expected_outcome', t{k}.outcome, 'fix_strategy', t{k}.strategy,
+        'rank', 0, 'ranking_reason', '')"""
 
-    number = double_text(choose(NUMBER_FORMULAS).cast("double"))
-    text = choose(TEXT_FORMULAS)
-    flag = F.when(formula.isin(*FLAG_FORMULAS), formula)
-    kind = (F.when(number.isNotNull(), "double").when(text.isNotNull(), "string").when(flag.isNotNull(), "int")
-            .otherwise("null"))
-    return typed(kind, F.coalesce(number, text, flag))
+
+def _manual_sql() -> str:
+    suffix, change, target, value, confidence, explanation, outcome, strategy = MANUAL_FIX
+    return f"""named_struct('fix_id', concat(issue_id, '_{suffix}'), 'suggested_change', '{change}', 'target_field', '{target}',
+        'new_value', named_struct('kind', 'string', 'value', '{value}'), 'confidence', {confidence}D,
+        'explanation', '{explanation}', 'expected_outcome', '{outcome}', 'fix_strategy', '{strategy}', 'rank', 0,
+        'ranking_reason', '')"""
 
 
 def with_fixes(issues: DataFrame) -> DataFrame:
-    """Adds fix_candidates to issues that still carry their product columns, in the order they are thought of."""
+    """Adds fix_candidates to issues that still carry their product columns, in the order they are thought of.
+
+    Each slot is worked out in generated code, one projection after the other, so that a number is
+    computed and printed once; only the small array is put together at the end.
+    """
     templates = F.broadcast(templates_frame(issues.sparkSession))
     joined = issues.withColumn("family", fix_family(F.col("rule_name"))).join(templates, "family", "left")
-    manual = F.array(F.struct(*map(F.lit, MANUAL_FIX)).cast(_TEMPLATE))
-    field = over_limit_field(F.col("rule_name"))
-
-    def make(t: Column) -> Column:
-        proposed = proposed_value(t["formula"])
-        change = F.replace(F.replace(t["change"], F.lit("{label}"), F.replace(field, F.lit("_"), F.lit(" "))),
-                           F.lit("{value}"), F.coalesce(proposed["value"], F.lit("")))
-        return F.struct(
-            F.concat_ws("_", "issue_id", t["suffix"]).alias("fix_id"), change.alias("suggested_change"),
-            F.replace(t["target"], F.lit("{field}"), field).alias("target_field"), proposed.alias("new_value"),
-            t["confidence"].alias("confidence"), t["explanation"].alias("explanation"),
-            t["outcome"].alias("expected_outcome"), t["strategy"].alias("fix_strategy"),
-            F.lit(0).alias("rank"), F.lit("").alias("ranking_reason"))
-
-    made = F.transform(F.coalesce("templates", manual), make)
-    useful = F.filter(made, lambda f: (f["fix_strategy"] != "copy_existing_value") | (f["new_value"]["value"] != ""))
-    return joined.withColumn("fix_candidates", F.slice(useful, 1, MAX_FIXES).cast(f"array<{FIX.simpleString()}>")).drop(
-        "family", "templates")
+    flags = {name: f"'{name}'" for name in FLAG_FORMULAS}
+    chosen = joined.withColumns({
+        **{f"n{k}": F.expr(_choose(f"t{k}.formula", NUMBER_FORMULAS)) for k in SLOTS},
+        **{f"s{k}": F.expr(_choose(f"t{k}.formula", {**TEXT_FORMULAS, **flags})) for k in SLOTS}})
+    printed = chosen.withColumns({f"v{k}": double_text(F.col(f"n{k}")) for k in SLOTS})
+    # a copy of an empty text is no fix; neither is a slot that the family does not have
+    use = {k: f"(t{k}.suffix IS NOT NULL AND NOT (t{k}.strategy = 'copy_existing_value' AND s{k} = ''))" for k in SLOTS}
+    made = printed.withColumns({f"f{k}": F.expr(_fix_sql(k)) for k in SLOTS}).withColumn("fm", F.expr(_manual_sql()))
+    fixes = F.expr(f"""CASE WHEN {use[0]} AND {use[1]} THEN array(f0, f1, fm) WHEN {use[0]} THEN array(f0, fm)
+        WHEN {use[1]} THEN array(f1, fm) ELSE array(fm) END""")
+    helpers = [f"{c}{k}" for c in "tnsvf" for k in SLOTS]
+    return made.withColumn("fix_candidates", fixes.cast(f"array<{FIX.simpleString()}>")).drop("family", "fm", *helpers)
 
 
 def rank_fixes(issues: DataFrame) -> DataFrame:
@@ -227,40 +237,32 @@ def rank_fixes(issues: DataFrame) -> DataFrame:
     Uses severity and condition_type, and the map column weights (strategy to feedback weight) if present.
     All within the row.
     """
-    weights = F.col("weights") if "weights" in issues.columns else F.lit(None).cast("map<string,double>")
-
-    def weight(fix: Column) -> Column:
-        return F.coalesce(F.try_element_at(weights, fix["fix_strategy"]), F.lit(0.0))
-
-    def score(fix: Column) -> Column:
-        bonus = F.lit(0.0)
-        for strategy, x in STRATEGY_BONUS.items():
-            bonus = F.when(fix["fix_strategy"] == strategy, x).otherwise(bonus)
-        return (
-            fix["confidence"] + bonus + weight(fix)
-            + F.when((F.col("severity") == "error") & (fix["fix_strategy"] != "manual_review_required"),
-                     ERROR_BONUS).otherwise(0.0)
-            + F.when((F.col("condition_type") == "missing_field") & (fix["fix_strategy"] == "copy_existing_value"),
-                     MISSING_COPY_BONUS).otherwise(0.0))
-
-    def numbered(fix: Column, i: Column) -> Column:
-        w = weight(fix)
-        feedback = F.when(w == 0, "").otherwise(F.concat(
-            F.lit(" Reviewer feedback "), F.when(w > 0, "boosted").otherwise("down-ranked"),
-            F.lit(" this strategy by "), fixed_decimals(F.abs(w), 2), F.lit(".")))
-        reason = F.concat(
-            F.lit("Ranked #"), (i + 1).cast("string"), F.lit(" from base confidence "),
-            fixed_decimals(fix["confidence"], 2), F.lit(" and strategy `"), fix["fix_strategy"], F.lit("`."), feedback)
-        return fix.withField("rank", (i + 1).cast("int")).withField("ranking_reason", reason)
-
-    keyed = F.transform("fix_candidates", lambda fix, i: F.struct((-score(fix)).alias("s"), i.alias("i"), fix.alias("f")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["f"])
-    return issues.withColumn("fix_candidates", F.transform(ordered, numbered))
+    has_weights = "weights" in issues.columns
+
+    def weight(fix: str) -> str:
+        return f"coalesce(try_element_at(weights, {fix}.fix_strategy), 0D)" if has_weights else "0D"
+
+    bonus = _choose("f.fix_strategy", {name: f"{x}D" for name, x in STRATEGY_BONUS.items()})
+    score = f"""f.confidence + coalesce({bonus}, 0D) + {weight('f')}
+        + CASE WHEN severity = 'error' AND f.fix_strategy <> 'manual_review_required' THEN {ERROR_BONUS}D ELSE 0D END
+        + CASE WHEN condition_type = 'missing_field' AND f.fix_strategy = 'copy_existing_value'
+               THEN {MISSING_COPY_BONUS}D ELSE 0D END"""
+    # each fix travels with its sort key, so the array is read once
+    ordered = f"sort_array(transform(fix_candidates, (f, i) -> named_struct('s', -({score}), 'i', i, 'f', f)))"
+    fix = "k.f"
+    feedback = f"""CASE WHEN {weight(fix)} = 0 THEN '' ELSE concat(' Reviewer feedback ',
+        CASE WHEN {weight(fix)} > 0 THEN 'boosted' ELSE 'down-ranked' END, ' this strategy by ',
+        format_number(abs({weight(fix)}), 2), '.') END""" if has_weights else "''"
+    reason = f"""concat('Ranked #', r + 1, ' from base confidence ', format_number({fix}.confidence, 2),
+        ' and strategy `', {fix}.fix_strategy, '`.', {feedback})"""
+    kept = ", ".join(f"'{n}', {fix}.{n}" for n in FIX.names if n not in ("rank", "ranking_reason"))
+    ranked = f"transform({ordered}, (k, r) -> named_struct({kept}, 'rank', r + 1, 'ranking_reason', {reason}))"
+    return issues.withColumn("fix_candidates", F.expr(ranked))
 
 
 def explode_fixes(issues: DataFrame, *keep: str) -> DataFrame:
-    """One row per fix."""
-    return issues.select("issue_id", *keep, F.explode("fix_candidates").alias("f")).select(
+    """One row per fix. An issue always has one; the outer form keeps Spark from testing the array in a filter of its own."""
+    return issues.select("issue_id", *keep, F.explode_outer("fix_candidates").alias("f")).select(
         "issue_id", *keep, "f.*")
 
 

@@ -66,37 +66,35 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def over_limit_field(rule_name: Column) -> Column:
-    return F.replace(rule_name, F.lit(OVER_LIMIT), F.lit(""))
+_NAME_SQL = f"initcap(replace(replace(rule_name, '{OVER_LIMIT}', ''), '_', ' '))"
+_IS_LIMIT = f"endswith(rule_name, '{OVER_LIMIT}')"
 
 
-def over_limit_name(rule_name: Column) -> Column:
-    return F.initcap(F.replace(over_limit_field(rule_name), F.lit("_"), F.lit(" ")))
+def fields_sql() -> str:
+    """SQL for the fields a rule touches, from condition and required_fields.
 
-
-def rule_fields(condition: Column, required: Column) -> Column:
-    """Fields a rule touches: the required ones, those named in the condition, the language trio; product_id if none."""
-    named = [F.when(condition.rlike(rf"\b{field}\b"), F.lit(field)) for field in KNOWN_FIELDS]
-    trio = F.contains(condition, F.lit("lc")) | F.contains(condition, F.lit("lang"))
-    fields = F.array_distinct(F.array_compact(F.concat(
-        F.transform(required, lambda f: F.nullif(f, F.lit(""))), F.array(*named),
-        F.when(trio, F.array(*map(F.lit, LANGUAGE_FIELDS))).otherwise(F.array().cast("array<string>")))))
-    return F.when(F.size(fields) > 0, fields).otherwise(F.array(F.lit("product_id")))
+    The required ones, those named in the condition as whole words, the language trio; product_id if none.
+    """
+    known = ", ".join(f"'{f}'" for f in KNOWN_FIELDS)
+    trio = ", ".join(f"'{f}'" for f in LANGUAGE_FIELDS)
+    found = f"""array_distinct(concat(
+        filter(required_fields, f -> f <> ''),
+        filter(array({known}), f -> condition rlike concat('\\\\b', f, '\\\\b')),
+        CASE WHEN contains(condition, 'lc') OR contains(condition, 'lang') THEN array({trio})
+             ELSE CAST(array() AS ARRAY<STRING>) END))"""
+    return f"CASE WHEN size({found}) > 0 THEN {found} ELSE array('product_id') END"
 
 
-def rule_explanation(rule_name: Column, condition: Column) -> Column:
-    out = F.when(rule_name.endswith(OVER_LIMIT), fill(EXPLAIN_LIMIT, name=over_limit_name(rule_name)))
-    for name, text in EXPLANATIONS.items():
-        out = out.when(rule_name == name, F.lit(text))
-    return out.otherwise(fill(EXPLAIN_OTHER, condition=condition))
+def explanation_sql() -> str:
+    """SQL over rule_name and condition."""
+    own = " ".join(f"WHEN '{rule}' THEN '{text}'" for rule, text in EXPLANATIONS.items())
+    return f"""CASE WHEN {_IS_LIMIT} THEN {fill_sql(EXPLAIN_LIMIT, name=_NAME_SQL)}
+        ELSE CASE rule_name {own} ELSE {fill_sql(EXPLAIN_OTHER, condition='condition')} END END"""
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """Adds the fields and the explanation to one row per rule."""
-    return rules.withColumns({
-        "fields": rule_fields(F.col("condition"), F.col("required_fields")),
-        "rule_explanation": rule_explanation(F.col("rule_name"), F.col("condition")),
-    })
+    return rules.withColumns({"fields": F.expr(fields_sql()), "rule_explanation": F.expr(explanation_sql())})
 
 
 def shown_sql(name: str) -> str:
@@ -123,13 +121,11 @@ def fill_sql(template: str, **values: str) -> str:
 
 def description_sql() -> str:
     """SQL over rule_name, condition and the product columns."""
-    name = f"initcap(replace(replace(rule_name, '{OVER_LIMIT}', ''), '_', ' '))"
     limited = " ".join(f"WHEN '{n}{OVER_LIMIT}' THEN {shown_sql(n)}" for n in NUMBER_COLUMNS)
     values = {n: shown_sql(n) for n in NUMBER_COLUMNS}
     own = " ".join(f"WHEN rule_name = '{rule}' THEN {fill_sql(text, **values)}" for rule, text in DESCRIPTIONS.items())
     return f"""CASE
-        WHEN rule_name LIKE '%{OVER_LIMIT.replace('_', chr(92) * 2 + '_')}' THEN {fill_sql(
-            DESCRIBE_LIMIT, name=name, value=f"CASE rule_name {limited} ELSE 'blank' END")}
+        WHEN {_IS_LIMIT} THEN {fill_sql(DESCRIBE_LIMIT, name=_NAME_SQL, value=f"CASE rule_name {limited} ELSE 'blank' END")}
         {own}
         WHEN contains(rule_name, 'mismatch') THEN {fill_sql(DESCRIBE_MISMATCH, condition='condition')}
         ELSE {fill_sql(DESCRIBE_OTHER, condition='condition')} END"""

@@ -100,7 +100,7 @@ def messages(checked: DataFrame) -> DataFrame:
     both = F.concat(
         F.transform("errors", lambda m: F.struct(F.lit("error").alias("level"), m.alias("message"))),
         F.transform("warnings", lambda m: F.struct(F.lit("warning").alias("level"), m.alias("message"))))
-    return checked.select("row_idx", F.inline(both))
+    return checked.select("row_idx", F.inline_outer(both)).where("level IS NOT NULL")
 
 
 def validation_counts(checked: DataFrame, missing_columns: int = 0) -> DataFrame:
@@ -176,7 +176,7 @@ def patch_preview(sheet: DataFrame, issues: DataFrame) -> DataFrame:
     bad = F.array(F.struct(F.lit("invalid_manual_edit").alias("source"), blank.alias("field"), blank.alias("old_value"),
                            blank.alias("new_value"), F.col("edit.error").alias("fix_strategy")))
     lines = F.when(F.col("edit.error").isNotNull(), bad).otherwise(F.coalesce(F.concat(suggested, manual), manual))
-    return rows.select("issue_id", "product_id", "rule_name", F.inline(lines))
+    return rows.select("issue_id", "product_id", "rule_name", F.inline_outer(lines)).where("source IS NOT NULL")
 
 
 # ---- states -------------------------------------------------------------------------------

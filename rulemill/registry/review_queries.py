@@ -294,7 +294,7 @@ SELECT row_idx, issue_id, product_id, rule_name, eff AS issue_status, field, sou
 def decision_lookup(spark, sf_dir):
     decided = R.decisions(*good_sheet(spark, sf_dir))
     rows = decided.select("row_idx", "issue_id", "product_id", "rule_name", "issue_status", "review_notes",
-                          F.inline("applied_changes"))
+                          F.inline_outer("applied_changes")).where("field IS NOT NULL")
     return rows.select("row_idx", "issue_id", "product_id", "rule_name", "issue_status", "field", "source_fix_id",
                        "source_kind", "review_notes", *_value_columns("new_value", "new"))
 

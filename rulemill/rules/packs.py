@@ -124,8 +124,8 @@ def attach_profile_metadata(rules: DataFrame, metadata: DataFrame | None = None)
     """Left join of the metadata (seven fixed rows unless given), with the defaults where there is none."""
     meta = F.broadcast(metadata_frame(rules.sparkSession) if metadata is None else metadata)
     joined = rules.join(meta, "rule_name", "left")
-    for name, default in DEFAULT_METADATA.items():
-        value = F.array(*map(F.lit, default)).cast("array<string>") if isinstance(default, list) else F.lit(default)
-        joined = joined.withColumn(name, F.coalesce(name, value))
-    return joined.withColumn(
-        "rule_notes", F.coalesce("rule_notes", F.concat(F.lit(DEFAULT_NOTES), F.col("rule_name"))))
+    defaults = {
+        name: F.coalesce(name, F.array(*map(F.lit, value)).cast("array<string>") if isinstance(value, list) else F.lit(value))
+        for name, value in DEFAULT_METADATA.items()}
+    return joined.withColumns({
+        **defaults, "rule_notes": F.coalesce("rule_notes", F.concat(F.lit(DEFAULT_NOTES), F.col("rule_name")))})

@@ -30,7 +30,7 @@ BASE = E.Pack("baseline")
 
 def product(product_id, **values):
     row = {f.name: None for f in PRODUCT_SCHEMA}
-    row.update(product_id=product_id, lc="en", lang="en", language_code="en", **{})
+    row.update(product_id=product_id, lc="en", lang="en", language_code="en")
     row.update(values)
     return tuple(row[f.name] for f in PRODUCT_SCHEMA)
 
