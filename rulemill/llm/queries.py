@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.llm.quality_rules import op6_quality_rules
+from rulemill.llm.secret_scan import op4_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
 }
 ORACLES: dict[str, str] = {}
