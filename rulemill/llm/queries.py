@@ -5,11 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulemill.llm.near_dedup import op2_minhash_near_dedup
 from rulemill.llm.packing import op3_packing
 from rulemill.llm.quality_rules import op6_quality_rules
 from rulemill.llm.secret_scan import op4_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
