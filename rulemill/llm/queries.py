@@ -9,11 +9,13 @@ from rulemill.llm.near_dedup import op2_minhash_near_dedup
 from rulemill.llm.packing import op3_packing
 from rulemill.llm.quality_rules import op6_quality_rules
 from rulemill.llm.secret_scan import op4_secret_scan
+from rulemill.llm.substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
