@@ -10,6 +10,7 @@ from rulemill.llm.packing import op3_packing
 from rulemill.llm.quality_rules import op6_quality_rules
 from rulemill.llm.secret_scan import op4_secret_scan
 from rulemill.llm.substring_dedup import op7_substring_dedup
+from rulemill.llm.suffix_dedup import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}
