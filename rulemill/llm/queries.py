@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.llm.near_dedup import op2_minhash_near_dedup
 from rulemill.llm.packing import op3_packing
+from rulemill.llm.quality_classifier import op1_quality_classifier
 from rulemill.llm.quality_rules import op6_quality_rules
 from rulemill.llm.secret_scan import op4_secret_scan
 from rulemill.llm.substring_dedup import op7_substring_dedup
 from rulemill.llm.suffix_dedup import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
