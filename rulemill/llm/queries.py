@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.llm.mixing import op9_mixing
 from rulemill.llm.near_dedup import op2_minhash_near_dedup
+from rulemill.llm.neighbours import op8_neighbours
 from rulemill.llm.packing import op3_packing
 from rulemill.llm.quality_classifier import op1_quality_classifier
 from rulemill.llm.quality_rules import op6_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
