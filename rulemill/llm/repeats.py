@@ -85,6 +85,9 @@ def _anchor_rows(symbols: Symbols, length: int, gram: int):
             at = np.concatenate([np.flatnonzero(lead), settled])
             known = np.zeros(len(at), bool)
             known[len(at) - len(settled):] = True
+            # Rows of a document lie together, so that what they have in common is stored once in a shuffle block.
+            order = np.argsort(rows[at], kind="stable")
+            at, known = at[order], known[order]
             spread = anchors[at].copy()
             spread[known] = mix(spread[known] + rows[at][known].astype(np.uint64))
             take = pa.array(rows[at])
@@ -110,6 +113,16 @@ def repeated_anchors(texts: DataFrame, symbols: Symbols, length: int, gram: int)
     return repeated.groupBy(*KEY).agg(F.collect_list("anchor").alias("anchors"))
 
 
+def with_marks(texts: DataFrame, anchors: DataFrame, copied: DataFrame) -> DataFrame:
+    """texts with their anchors that repeat, and `whole` true for exact copies.
+
+    The texts are joined as they are, so that a later join of them by the same key uses the same shuffle.
+    """
+    marks = (anchors.withColumn("whole", F.lit(False))
+             .unionByName(copied.withColumn("anchors", F.lit(None).cast("array<bigint>")).withColumn("whole", F.lit(True))))
+    return texts.join(marks, KEY, "left")
+
+
 def candidates(anchors: np.ndarray, rows: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
     """True for the windows whose anchor is in the list of their row; rows ascend."""
     out = np.zeros(len(rows), bool)

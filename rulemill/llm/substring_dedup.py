@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulemill.llm.common import mix, pieces, range_hashes, read_table, signed, text_bytes, word_bounds, word_hashes
-from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows
+from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows, with_marks
 from rulemill.session import materialize
 
 WINDOW = 20
@@ -41,8 +41,11 @@ def _window_rows(length: int, gram: int):
             values, before = word_symbols(*text_bytes(part.column("text")))
             starts, rows, anchors, sums = windows(values, before, length, gram)
             hashes = range_hashes(sums, starts, starts + length)
-            ids = part.column("doc_id").to_numpy()
+            ids = part.column("doc_id").fill_null(-1).to_numpy()
             inside = starts - before[rows]
+            apart = part.column("whole").fill_null(False).to_numpy(zero_copy_only=False) | part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            takes_part = ~apart[rows]
+            rows, inside, anchors, hashes = rows[takes_part], inside[takes_part], anchors[takes_part], hashes[takes_part]
             # The first of each hash in this piece, by (doc_id, start), may meet earlier ones elsewhere; the rest is repeated.
             order = np.lexsort((inside, ids[rows], hashes))
             hashes, rows, inside, anchors = hashes[order], rows[order], inside[order], anchors[order]
@@ -54,6 +57,7 @@ def _window_rows(length: int, gram: int):
             by_row = np.argsort(rows, kind="stable")
             elsewhere[by_row] = candidates(anchors[by_row], rows[by_row], wanted)
             sent = np.flatnonzero(known | elsewhere)
+            sent = sent[np.lexsort((inside[sent], rows[sent]))]  # neighbours of a document lie together in a shuffle block
             spread, settled = hashes[sent].copy(), known[sent]
             spread[settled] = mix(spread[settled] + inside[sent][settled].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                                   + rows[sent][settled].astype(np.uint64))
@@ -79,7 +83,7 @@ def repeated_windows(texts: DataFrame, length: int = WINDOW, gram: int = GRAM) -
     copied = materialize(copies(texts), "copies")
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, word_symbols, length, gram)
-    found = alone.join(anchors, KEY, "left").mapInArrow(
+    found = with_marks(texts, anchors, copied).mapInArrow(
         _window_rows(length, gram), "spread long, doc_id long, signature long, start int, known boolean")
     place = F.struct("doc_id", "start")
     repeated = (found.withColumn("first", F.min(place).over(Window.partitionBy("spread")))

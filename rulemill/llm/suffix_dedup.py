@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.llm.common import BYTE_VALUE, mix, pieces, read_table, signed, text_bytes
-from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows
+from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows, with_marks
 from rulemill.llm.suffix_array import common_prefixes, suffix_order
 from rulemill.session import materialize
 
@@ -76,6 +76,9 @@ def _shard_rows(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
+            part = part.filter(part.column("anchors").is_valid())
+            if not part.num_rows:
+                continue
             data, offsets = text_bytes(part.column("text"))
             starts, rows, anchors, _ = windows(*byte_symbols(data, offsets), length, gram)
             here = candidates(anchors, rows, lists_of(part.column("anchors")))
@@ -208,7 +211,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     copied = materialize(copies(texts), "copies")
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, byte_symbols, length, gram)
-    sent = alone.join(anchors, KEY).mapInArrow(_shard_rows(length, gram), _SENT)
+    sent = with_marks(texts, anchors, copied).select(*KEY, "text", "anchors").mapInArrow(_shard_rows(length, gram), _SENT)
     spans = (sent.repartition("spread").sortWithinPartitions("spread", "doc_id")
              .mapInArrow(_merged(length), "doc_id long, signature long, start int, stop int"))
     return (spans.groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
