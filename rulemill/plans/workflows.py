@@ -137,7 +137,7 @@ def export_review(
 def validate_review(sheet: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, counts) of a reviewed sheet."""
     lacking = sheets.missing_required_columns(sheet)
-    checked = R.check_rows(sheets.review_columns(sheet).withColumn("row_idx", F.lit(0)) if lacking else sheet, issues)
+    checked = R.check_rows(sheets.numbered(sheet) if lacking else sheet, issues)
     found = R.messages(checked)
     if lacking:
         text = f"Missing required columns: {', '.join(lacking)}"
