@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, kind: Similarity = Similarity()) -> DataFra
              .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id"))
     linked = components(_block_links(texts, kind), "a", "b").withColumnRenamed("id", "stands")
 
-    whole = F.coalesce("component", "stands", "doc_id")
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "stands", "doc_id"))
     return member.join(linked, "stands", "left").select(
         "doc_id", "n_shingles", whole.alias("component_id"),
         F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
