@@ -1,14 +1,27 @@
 """Line up verdict sources per rule, score them, choose one and decide its governance state."""
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemill.functions.text import percent, strip
 
-# Sources in tie order, and the two that are declarative.
+# The shipped sources in tie order, and the two that are declarative.
 ENGINES = ("python", "dbt", "soda")
 DECLARATIVE = ("dbt", "soda")
+
+
+@dataclass(frozen=True)
+class Source:
+    """A source of verdicts. Only procedural ones bring verification figures that count."""
+    name: str
+    declarative: bool
+
+
+SOURCES = tuple(Source(name, name in DECLARATIVE) for name in ENGINES)
 # Trust in a provider, per source; the last entry is for any other provider.
 PROVIDER_FACTORS = {
     "python": ({"groq": 1.0, "simulated_fallback": 0.55}, 0.75),
@@ -71,10 +84,34 @@ def effective_confidence(source: Column, provider: Column, overall: Column) -> C
     return overall * provider_factor(source, provider)
 
 
-def decision_score(source: Column, effective: Column, friendly: Column) -> Column:
+def sources_of(results: DataFrame, declarative: Mapping[str, bool] | None = None) -> tuple[Source, ...]:
+    """The shipped sources in tie order, then any others of the results by name; others are declarative unless said otherwise.
+
+    results holds a row per source and rule, so their names are a handful.
+    """
+    kinds = dict(declarative or {})
+    found = {row.source for row in results.select("source").distinct().collect() if row.source is not None}
+    return (tuple(Source(x.name, kinds.get(x.name, x.declarative)) for x in SOURCES)
+            + tuple(Source(name, kinds.get(name, True)) for name in sorted(found - set(ENGINES))))
+
+
+def sources_in(comparison: DataFrame) -> tuple[str, ...]:
+    """Names of the sources that a comparison has a struct of."""
+    return tuple(f.name for f in comparison.schema if f.dataType.typeName() == "struct" and "decision" in f.dataType.names)
+
+
+def _names(sources: Sequence[Source], declarative: bool) -> list[str]:
+    return [x.name for x in sources if x.declarative == declarative]
+
+
+def _row(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def decision_score(source: Column, effective: Column, friendly: Column, sources: Sequence[Source] = SOURCES) -> Column:
     """Effective confidence with penalties for mismatches and bonuses for evidence and fit."""
-    procedural = source == "python"
-    fits = F.when(friendly, source.isin(*DECLARATIVE)).otherwise(procedural)
+    procedural = source.isin(*_names(sources, False))
+    fits = F.when(friendly, source.isin(*_names(sources, True))).otherwise(procedural)
     return (
         effective
         - F.when(F.col("status") != "MATCH", REVIEW_PENALTY).otherwise(0.0)
@@ -86,14 +123,14 @@ def decision_score(source: Column, effective: Column, friendly: Column) -> Colum
     )
 
 
-def score_rows(results: DataFrame) -> DataFrame:
+def score_rows(results: DataFrame, sources: Sequence[Source] = SOURCES) -> DataFrame:
     """Adds factor, effective confidence and decision score to rows per source and rule."""
     friendly = F.coalesce(F.col("declarative_friendly"), is_declarative_friendly(F.col("condition")))
     return (
         results.withColumn("declarative_friendly", friendly)
         .withColumn("provider_factor", provider_factor(F.col("source"), F.col("provider")))
         .withColumn("effective", F.col("overall_confidence") * F.col("provider_factor"))
-        .withColumn("decision", decision_score(F.col("source"), F.col("effective"), F.col("declarative_friendly")))
+        .withColumn("decision", decision_score(F.col("source"), F.col("effective"), F.col("declarative_friendly"), sources))
     )
 
 
@@ -108,63 +145,74 @@ RULE_FIELDS = (
 )
 
 
-def line_up(scored: DataFrame) -> DataFrame:
+def line_up(scored: DataFrame, sources: Sequence[Source] = SOURCES) -> DataFrame:
     """One row per rule: its own fields, and a struct per source (null where the source lacks the rule)."""
-    place = F.array_position(F.array(*map(F.lit, ENGINES)), F.col("source"))
-    known = scored.where(F.col("source").isin(*ENGINES))
+    names = [x.name for x in sources]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("source"))
     fields = [name for name in RULE_FIELDS if name in scored.columns]
-    return known.groupBy("rule_name").agg(
-        F.min_by(F.struct(*fields), place).alias("rule"),
-        *[F.max_by(F.struct(*ENGINE_FIELDS), F.when(F.col("source") == e, 1)).alias(e) for e in ENGINES],
-    ).select("rule_name", "rule.*", *[
-        F.when(F.col(f"{e}.source") == e, F.col(e)).alias(e) for e in ENGINES])
-
-
-def declarative_choice(dbt: Column, soda: Column, rule_name: Column) -> Column:
-    """struct(engine, reason, tied): the better declarative source, an exact tie split by name hash."""
-    def key(row: Column) -> Column:
-        return F.struct(
-            F.when(row["status"] == "MATCH", 1).otherwise(0).alias("a"), (-row["mismatches"]).alias("b"),
-            row["decision"].alias("c"), row["effective"].alias("d"), row["overall_confidence"].alias("e"))
-
-    def pick(engine: str | None, reason: str, tied: bool) -> Column:
-        return F.struct(F.lit(engine).cast("string").alias("engine"), F.lit(reason).alias("reason"),
-                        F.lit(tied).alias("tied"))
-
+    return scored.where(F.col("source").isNotNull()).groupBy("rule_name").agg(
+        F.min_by(F.struct(*fields), F.when(place > 0, place).otherwise(len(names) + 1)).alias("rule"),
+        *[F.max_by(F.struct(*ENGINE_FIELDS), F.when(F.col("source") == e, 1)).alias(e) for e in names],
+    ).select("rule_name", "rule.*", *[F.when(_row(e)["source"] == e, _row(e)).alias(e) for e in names])
+
+
+def declarative_choice(rows: Mapping[str, Column], rule_name: Column) -> Column:
+    """struct(engine, reason, tied): the best declarative source, an exact tie split by name hash.
+
+    rows: the struct of each declarative source, in tie order.
+    """
+    def standing(place: int, name: str, row: Column) -> Column:
+        return F.when(row.isNotNull(), F.struct(
+            F.struct(F.when(row["status"] == "MATCH", 1).otherwise(0).alias("a"), (-row["mismatches"]).alias("b"),
+                     row["decision"].alias("c"), row["effective"].alias("d"), row["overall_confidence"].alias("e")).alias("key"),
+            F.lit(-place).alias("place"), F.lit(name).alias("engine")))
+
+    def pick(engine: Column, reason: Column, tied: bool) -> Column:
+        return F.struct(engine.cast("string").alias("engine"), reason.alias("reason"), F.lit(tied).alias("tied"))
+
+    none = pick(F.lit(None), F.lit("declarative-unavailable"), False)
+    if not rows:
+        return none
+    ranked = F.sort_array(F.array_compact(F.array(*[standing(k, n, r) for k, (n, r) in enumerate(rows.items())])), asc=False)
+    first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     odd = F.conv(F.right(F.sha1(rule_name), F.lit(1)), 16, 10).cast("int") % 2 == 1
     return (
-        F.when(dbt.isNull() & soda.isNull(), pick(None, "declarative-unavailable", False))
-        .when(soda.isNull(), pick("dbt", "only-dbt-available", False))
-        .when(dbt.isNull(), pick("soda", "only-soda-available", False))
-        .when(key(dbt) > key(soda), pick("dbt", "declarative-rank:dbt>soda", False))
-        .when(key(dbt) < key(soda), pick("soda", "declarative-rank:soda>dbt", False))
-        .when(odd, pick("soda", "explicit-hash-tie-break-odd->soda", True))
-        .otherwise(pick("dbt", "explicit-hash-tie-break-even->dbt", True))
+        F.when(F.size(ranked) == 0, none)
+        .when(F.size(ranked) == 1, pick(first["engine"], F.concat(F.lit("only-"), first["engine"], F.lit("-available")), False))
+        .when(first["key"] > second["key"],
+              pick(first["engine"], F.concat(F.lit("declarative-rank:"), first["engine"], F.lit(">"), second["engine"]), False))
+        .when(odd, pick(second["engine"], F.concat(F.lit("explicit-hash-tie-break-odd->"), second["engine"]), True))
+        .otherwise(pick(first["engine"], F.concat(F.lit("explicit-hash-tie-break-even->"), first["engine"]), True))
     )
 
 
-def _of(engine: Column, field: str) -> Column:
+def _of(engine: Column, field: str, names: Sequence[str] = ENGINES) -> Column:
     out = F.lit(None)
-    for e in ENGINES:
-        out = F.when(engine == e, F.col(e)[field]).otherwise(out)
+    for e in names:
+        out = F.when(engine == e, _row(e)[field]).otherwise(out)
     return out
 
 
-def best_engine(lined: DataFrame) -> DataFrame:
-    """Adds the chosen source, the reason and whether a tie was split."""
-    ranked = F.array_max(F.array(*[
-        F.when(F.col(e).isNotNull(), F.struct(
-            F.col(e)["decision"].alias("a"), F.col(e)["effective"].alias("b"), F.col(e)["overall_confidence"].alias("c"),
+def _top(names: Sequence[str]) -> Column:
+    """The source of the highest decision score; ties go to the earlier one."""
+    return F.array_max(F.array(*[
+        F.when(_row(e).isNotNull(), F.struct(
+            _row(e)["decision"].alias("a"), _row(e)["effective"].alias("b"), _row(e)["overall_confidence"].alias("c"),
             F.lit(-i).alias("d"), F.lit(e).alias("engine")))
-        for i, e in enumerate(ENGINES)]))["engine"]
+        for i, e in enumerate(names)]))["engine"] if names else F.lit(None).cast("string")
+
+
+def best_engine(lined: DataFrame, sources: Sequence[Source] = SOURCES) -> DataFrame:
+    """Adds the chosen source, the reason and whether a tie was split."""
+    names, declarative, procedural = [x.name for x in sources], _names(sources, True), _names(sources, False)
     rows = (
-        lined.withColumn("_top", ranked)
-        .withColumn("_decl", declarative_choice(F.col("dbt"), F.col("soda"), F.col("rule_name")))
+        lined.withColumn("_top", _top(names)).withColumn("_proc", _top(procedural))
+        .withColumn("_decl", declarative_choice({e: _row(e) for e in declarative}, F.col("rule_name")))
     )
-    decl, reason, tied = F.col("_decl.engine"), F.col("_decl.reason"), F.col("_decl.tied")
+    proc, decl, reason, tied = F.col("_proc"), F.col("_decl.engine"), F.col("_decl.reason"), F.col("_decl.tied")
     near = (
-        (F.col("python.status") == "MATCH") & decl.isNotNull()
-        & (F.abs(F.col("python.effective") - _of(decl, "effective")) <= CLOSE)
+        (_of(proc, "status", names) == "MATCH") & decl.isNotNull()
+        & (F.abs(_of(proc, "effective", names) - _of(decl, "effective", names)) <= CLOSE)
     )
     near = F.coalesce(near, F.lit(False))
     friendly = F.col("declarative_friendly")
@@ -174,22 +222,22 @@ def best_engine(lined: DataFrame) -> DataFrame:
 
     chosen = (
         F.when(friendly & near, out(decl, F.concat(F.lit("hybrid-close-declarative:"), reason), tied))
-        .when(~friendly & near, out(F.lit("python"), F.lit("hybrid-close-procedural:prefer-python"), F.lit(False)))
-        .when(F.col("_top").isin(*DECLARATIVE) & tied,
+        .when(~friendly & near, out(proc, F.concat(F.lit("hybrid-close-procedural:prefer-"), proc), F.lit(False)))
+        .when(F.col("_top").isin(*declarative) & tied,
               out(decl, F.concat(F.lit("explicit-declarative-tie:"), reason), F.lit(True)))
         .otherwise(out(F.col("_top"), F.lit("top-decision-score"), F.lit(False)))
     )
     return rows.withColumn("_c", chosen).withColumns({
         "best_engine": F.col("_c.engine"), "selection_reason": F.col("_c.why"),
-        "declarative_tie_break_applied": F.col("_c.split")}).drop("_c", "_top", "_decl")
+        "declarative_tie_break_applied": F.col("_c.split")}).drop("_c", "_top", "_proc", "_decl")
 
 
-def migration_state(best: Column) -> Column:
+def migration_state(best: Column, sources: Sequence[Source] = SOURCES) -> Column:
     """struct(state, reason) by ordered tests on the chosen source's row."""
     def to(state: str, reason: str) -> Column:
         return F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
 
-    procedural = F.col("best_engine") == "python"
+    procedural = F.col("best_engine").isin(*_names(sources, False))
     # State texts.
     return (
         F.when((best["status"] != "MATCH") | (best["mismatches"] > 0),
@@ -210,9 +258,9 @@ def migration_state(best: Column) -> Column:
     )
 
 
-def rule_recommendation(best: Column) -> Column:
+def rule_recommendation(best: Column, sources: Sequence[Source] = SOURCES) -> Column:
     engine = F.col("best_engine")
-    procedural = engine == "python"
+    procedural = engine.isin(*_names(sources, False))
     # Advice texts.
     return (
         F.when(best["mismatches"] > 0, F.lit("Needs manual review; parity mismatches exist."))
@@ -221,7 +269,7 @@ def rule_recommendation(best: Column) -> Column:
                                      "Enable real engine execution to confirm this choice.")))
         .when(procedural & (best["equivalence_status"] != "PASS"),
               F.lit("Python rule failed equivalence checks; inspect counterexamples before accepting."))
-        .when(engine.isin(*DECLARATIVE) & F.col("declarative_friendly"),
+        .when(engine.isin(*_names(sources, True)) & F.col("declarative_friendly"),
               F.lit("Declarative-friendly rule; prefer dbt/soda for readability and operations."))
         .when(procedural & F.col("complexity").isin("medium", "intricate"),
               F.concat(F.lit("Procedural preference: rule is "), F.col("complexity"), F.lit(" ("),
@@ -231,14 +279,18 @@ def rule_recommendation(best: Column) -> Column:
     )
 
 
-def rule_comparison(results: DataFrame) -> DataFrame:
-    """The final table: one row per rule with the choice, the state, the advice and a struct per source."""
-    chosen = best_engine(line_up(score_rows(results)))
-    best = F.coalesce(*[F.when(F.col("best_engine") == e, F.col(e)) for e in ENGINES])
+def rule_comparison(results: DataFrame, sources: Sequence[Source] | None = None) -> DataFrame:
+    """The final table: one row per rule with the choice, the state, the advice and a struct per source.
+
+    Without `sources`, those that the results hold are compared, whatever their names and number.
+    """
+    sources = sources_of(results) if sources is None else tuple(sources)
+    chosen = best_engine(line_up(score_rows(results, sources), sources), sources)
+    best = F.coalesce(*[F.when(F.col("best_engine") == x.name, _row(x.name)) for x in sources])
     return (
         chosen.withColumn("_best", best)
-        .withColumn("recommendation", rule_recommendation(F.col("_best")))
-        .withColumn("_state", migration_state(F.col("_best")))
+        .withColumn("recommendation", rule_recommendation(F.col("_best"), sources))
+        .withColumn("_state", migration_state(F.col("_best"), sources))
         .withColumns({
             "migration_state": F.col("_state.state"), "migration_state_reason": F.col("_state.reason"),
             "effective_confidence": F.round(F.col("_best.effective"), 4)})
@@ -275,7 +327,7 @@ def _wins(engine: str) -> Column:
 def complexity_summary(comparison: DataFrame) -> DataFrame:
     tier = F.when(F.col("complexity").isin(*TIERS), F.col("complexity"))
     return comparison.where(tier.isNotNull()).groupBy("complexity").agg(
-        F.count(F.lit(1)).alias("rules"), *[_wins(e) for e in ENGINES],
+        F.count(F.lit(1)).alias("rules"), *[_wins(e) for e in sources_in(comparison)],
         F.round(F.avg("effective_confidence"), 4).alias("avg_best_effective_confidence"),
     )
 
@@ -294,40 +346,43 @@ def engine_wins(comparison: DataFrame) -> DataFrame:
 
 def comparison_kpis(comparison: DataFrame) -> DataFrame:
     return comparison.agg(
-        F.count(F.lit(1)).alias("rules_compared"), *[_wins(e) for e in ENGINES],
+        F.count(F.lit(1)).alias("rules_compared"), *[_wins(e) for e in sources_in(comparison)],
         F.round(F.avg(percent(F.col("effective_confidence"))), 6).alias("avg_best_effective_pct"),
         F.count_if(F.col("jurisdiction") == "ca").alias("regional_rules"),
     )
 
 
-def _margin(field: str) -> Column:
+def _margin(field: str, names: Sequence[str]) -> Column:
     ordered = F.sort_array(F.array(*[
-        F.coalesce(F.round(F.col(e)[field], 4), F.lit(0.0)) for e in ENGINES]), asc=False)
+        F.coalesce(F.round(_row(e)[field], 4), F.lit(0.0)) for e in names]), asc=False)
     return F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))
 
 
 def confidence_margin(comparison: DataFrame) -> DataFrame:
+    names = sources_in(comparison)
     return comparison.select(
         "rule_name",
-        F.round(_margin("effective") * 100, 2).alias("effective_margin_pct"),
-        F.round(_margin("decision"), 4).alias("decision_margin"),
+        F.round(_margin("effective", names) * 100, 2).alias("effective_margin_pct"),
+        F.round(_margin("decision", names), 4).alias("decision_margin"),
     )
 
 
 def rule_frame(comparison: DataFrame) -> DataFrame:
     """One wide row per rule for display, with the columns of every source side by side."""
+    names = sources_in(comparison)
+
     def per_engine(suffix: str, make) -> list[Column]:
-        return [make(F.col(e)).alias(f"{e}_{suffix}") for e in ENGINES]
+        return [make(_row(e)).alias(f"{e}_{suffix}") for e in names]
 
     python = F.col("python")
     return comparison.select(
         "rule_name", "severity", "condition", "condition_type", "complexity", "declarative_friendly", "jurisdiction",
         "regulatory_type", "legal_citation", "review_status", "products_tested", "best_engine", "migration_state",
         "migration_state_reason",
-        percent(F.round(_of(F.col("best_engine"), "effective"), 4)).alias("best_effective_pct"),
-        F.round(_margin("effective") * 100, 2).alias("effective_margin_pct"),
-        F.round(_of(F.col("best_engine"), "decision"), 4).alias("best_decision_score"),
-        F.round(_margin("decision"), 4).alias("decision_margin"),
+        percent(F.round(_of(F.col("best_engine"), "effective", names), 4)).alias("best_effective_pct"),
+        F.round(_margin("effective", names) * 100, 2).alias("effective_margin_pct"),
+        F.round(_of(F.col("best_engine"), "decision", names), 4).alias("best_decision_score"),
+        F.round(_margin("decision", names), 4).alias("decision_margin"),
         *per_engine("status", lambda r: F.coalesce(r["status"], F.lit("n/a"))),
         *per_engine("effective_pct", lambda r: percent(F.round(r["effective"], 4))),
         *per_engine("decision_score", lambda r: F.coalesce(F.round(r["decision"], 4), F.lit(0.0))),
@@ -346,7 +401,7 @@ def rule_frame(comparison: DataFrame) -> DataFrame:
 
 def melt_engine_confidence(frame: DataFrame) -> DataFrame:
     """Wide confidence columns to (rule_name, engine, effective_pct)."""
-    columns = [f"{e}_effective_pct" for e in ENGINES]
+    columns = [c for c in frame.columns if c.endswith("_effective_pct") and c != "best_effective_pct"]
     return frame.unpivot("rule_name", columns, "engine", "effective_pct").withColumn(
         "engine", F.upper(F.regexp_replace("engine", "_effective_pct$", "")))
 

@@ -70,7 +70,8 @@ def conversions(
     figures = {"equivalence_match_rate": F.lit(1.0), "equivalence_status": F.lit("PASS"), "mutation_score": F.lit(1.0)}
     if verification is None:
         return base.withColumns(figures)
-    known = verification.select("rule_name", F.lit("python").alias("source"), *figures)
+    procedural = [x for x in providers if x not in C.DECLARATIVE]
+    known = verification.select("rule_name", F.explode(F.array(*map(F.lit, procedural)).cast("array<string>")).alias("source"), *figures)
     return base.join(F.broadcast(known), ["source", "rule_name"], "left").withColumns(
         {name: F.coalesce(F.col(name), default) for name, default in figures.items()})
 
@@ -104,7 +105,8 @@ def run_comparison(
     results = P.rule_result(counts, conversion_rows, rule_rows(products.sparkSession, chosen))
     if store is not None:
         results = store.save("rule_results", results)
-    comparison = C.rule_comparison(results)
+    kinds = {p.source: p.sql for p in candidates if p.source not in C.ENGINES}
+    comparison = C.rule_comparison(results, (*C.SOURCES, *[C.Source(n, kinds[n]) for n in sorted(kinds)]))
     if store is not None:
         comparison = store.save("rule_comparison", comparison)
         store.save("run_info", P.dataset_fingerprint(products, row_number_hash).select(

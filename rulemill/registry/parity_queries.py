@@ -393,7 +393,7 @@ SELECT rule_name, decl AS engine, decl_reason AS reason, tied FROM dc""")
 def declarative_tie_break(spark, sf_dir):
     lined = C.line_up(C.score_rows(results(spark, sf_dir)))
     return lined.select("rule_name", C.declarative_choice(
-        F.col("dbt"), F.col("soda"), F.col("rule_name")).alias("c")).select("rule_name", "c.*")
+        {e: F.col(e) for e in C.DECLARATIVE}, F.col("rule_name")).alias("c")).select("rule_name", "c.*")
 
 
 _STATE_SQL = f"""CASE
