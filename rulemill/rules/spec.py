@@ -120,7 +120,7 @@ SWAPPED = {">": ">=", "<": "<=", ">=": ">", "<=": "<", "==": "!=", "!=": "=="}
 FACTOR_STEP, OFFSET_STEP, THRESHOLD_STEP = 0.3, 1.0, 1.0
 
 
-def mutants(rule: Rule, limit: int = 8) -> list[tuple[str, Rule]]:
+def mutants(rule: Rule) -> list[tuple[str, Rule]]:
     """Slightly wrong copies of a rule. A conjunction has no single operator to swap and gets none."""
     out: list[tuple[str, Rule]] = []
     if rule.operator in SWAPPED:
@@ -136,7 +136,7 @@ def mutants(rule: Rule, limit: int = 8) -> list[tuple[str, Rule]]:
         out.append(("offset_perturbed", rule.with_(offset=round(rule.offset + OFFSET_STEP, 6))))
     if rule.condition_type == THRESHOLD:
         out.append(("threshold_perturbed", rule.with_(threshold=round(rule.threshold + THRESHOLD_STEP, 6))))
-    return out[:limit]
+    return out
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
