@@ -16,6 +16,10 @@ def patch_id(issue: Column, product_id: Column, field: Column, new_value: Column
 
 
 def row_number_hash(*cols: Column) -> Column:
-    """A row as a 60-bit number; adding these up does not depend on row order."""
-    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
+    """A row as a 60-bit number; adding these up does not depend on row order.
+
+    Each cell bears its length, and a null none, so rows with different cells never give the same text.
+    """
+    cells = [F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")) for c in cols]
+    text = F.concat_ws("|", *[F.coalesce(cell, F.lit("~")) for cell in cells])
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")

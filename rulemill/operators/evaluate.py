@@ -92,11 +92,6 @@ def sample_violations(products: DataFrame, pack: Pack, limit: int = 5) -> DataFr
     return first_n_per_key(rows, ["rule_name"], [F.col("product_id")], limit, ["product_id"])
 
 
-def rows_matching(products: DataFrame, condition: str) -> DataFrame:
-    """Rows for which an SQL condition holds."""
-    return products.where(F.expr(condition))
-
-
 def tags_from_verdicts(verdicts: DataFrame, products: DataFrame, rules: DataFrame) -> DataFrame:
     """Long verdicts back to tags per product in rule order; clean products keep an empty array.
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulemill.functions.hashing import row_number_hash
 from rulemill.functions.stats import beta_bounds, ratio, wilson_bounds
 from rulemill.operators.evaluate import WORD, Pack, hits, signature_word, text_literal
 from rulemill.operators.ranking import first_n_per_key
@@ -83,10 +84,10 @@ def _with_matches(counts: DataFrame) -> DataFrame:
 
 
 def count_flags(flags: DataFrame, products: DataFrame, rules: DataFrame) -> DataFrame:
-    """Counts per rule from matched verdicts; rules without any verdict keep zeros."""
+    """Counts per rule from matched verdicts; rules without any verdict keep zeros. Product ids are unique."""
     per_rule = flags.groupBy("rule_name").agg(
         *_count_columns(F.col("in_baseline"), F.col("in_candidate"), F.lit(1)))
-    tested = products.agg(F.count_distinct("product_id").alias("products_tested")).withColumn("_one", F.lit(1))
+    tested = products.agg(F.count("product_id").alias("products_tested")).withColumn("_one", F.lit(1))
     full = rules.select("rule_name").withColumn("_one", F.lit(1)).join(per_rule, "rule_name", "left")
     return _with_matches(
         full.join(F.broadcast(tested), "_one").drop("_one").fillna(0, list(COUNTS)))
@@ -229,13 +230,13 @@ def dataset_fingerprint(products: DataFrame, hash_row) -> DataFrame:
 
 
 def rulepack_fingerprint(rules: DataFrame) -> DataFrame:
-    """Hashes of the sorted rule names and of the sorted rule hashes; one row per rule goes in."""
+    """Order-free fingerprints of the rule names and of the rule hashes: sums of row hashes, so no task holds a list."""
     def digest(name: str) -> Column:
-        return F.sha2(F.array_join(F.sort_array(F.collect_list(name)), ","), 256)
+        return F.sum(row_number_hash(F.col(name)).cast("decimal(28,0)")).cast("string")
     return rules.agg(
         F.count(F.lit(1)).alias("rule_count"),
-        digest("rule_name").alias("rule_names_sha256"),
-        digest("rule_ir_hash").alias("rule_ir_sha256"),
+        digest("rule_name").alias("rule_names_fingerprint"),
+        digest("rule_ir_hash").alias("rule_ir_fingerprint"),
     )
 
 

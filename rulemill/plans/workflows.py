@@ -178,8 +178,8 @@ def revalidate(
     before holds source and issues of the export. Scores divide by the sizes of the run before, so the
     corrected table must hold the same products.
     """
-    sizes = [df.agg(F.count(F.lit(1)), F.min("product_id"), F.max("product_id")).head() for df in (before["source"], corrected)]
-    if tuple(sizes[0]) != tuple(sizes[1]):
+    ids = [P.dataset_fingerprint(df.select("product_id"), row_number_hash).head() for df in (before["source"], corrected)]
+    if tuple(ids[0]) != tuple(ids[1]):
         raise ValueError("the corrected table does not hold the products of the run before")
     rules = I.comparison_rules(after_comparison)
     after = store.save("issues_after", I.issues_join(corrected, pack, rules).select("issue_id", "rule_name", "product_id"))

@@ -592,7 +592,8 @@ def percent_projection(spark, sf_dir):
 
 
 _HASHED = sorted(("product_id", "ingredients_text_present", "lc", "lang", "language_code"))
-_HASH_SQL = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _HASHED)
+_HASH_SQL = " || '|' || ".join(
+    f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '~')" for c in _HASHED)
 
 
 @query("dataset_fingerprint", f"""WITH {P_CTE}

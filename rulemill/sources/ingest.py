@@ -279,12 +279,3 @@ def snapshot_source(products: DataFrame, root: str, run_id: str) -> str:
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """One JSON object per line with nulls kept."""
     rows.write.option("ignoreNullFields", "false").json(path)
-
-
-def write_tables(root: str, run_id: str, **tables: DataFrame) -> dict[str, str]:
-    """Report tables of a run as parquet, one folder each."""
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{root.rstrip('/')}/{name}/{run_id}"
-        df.write.parquet(paths[name])
-    return paths
