@@ -145,8 +145,10 @@ SCORE = f"""confidence + {_BONUS} + CAST(0 AS DOUBLE)
   + CASE WHEN severity = 'error' AND fix_strategy <> 'manual_review_required' THEN CAST(0.02 AS DOUBLE) ELSE 0 END
   + CASE WHEN condition_type = 'missing_field' AND fix_strategy = 'copy_existing_value'
     THEN CAST(0.03 AS DOUBLE) ELSE 0 END"""
+# Ranks are found on narrow rows; the texts join them afterwards.
 RANK_CTE = f"""{FIX_CTE},
-  k AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY {SCORE} DESC, pos) AS rank FROM f)"""
+  ranks AS MATERIALIZED (SELECT issue_id, pos, row_number() OVER (PARTITION BY issue_id ORDER BY {SCORE} DESC, pos) AS rank FROM f),
+  k AS (SELECT f.*, rank FROM f JOIN ranks USING (issue_id, pos))"""
 WITH_RANKS = f"WITH {RANK_CTE}"
 
 

@@ -37,4 +37,4 @@ def verdict_union(conditions: dict[str, str], columns: str = "product_id", sourc
         f"SELECT '{name}' AS rule_name, {columns} FROM {source} WHERE {cond}" for name, cond in conditions.items())
 
 
-V_CTE = "v AS (" + verdict_union(RULE_SQL) + ")"
+V_CTE = "v AS MATERIALIZED (" + verdict_union(RULE_SQL) + ")"
