@@ -1,7 +1,7 @@
 """What the two substring operators share: texts under a key, exact copies, and anchors that point to repeated windows.
 
-A window is `length` consecutive symbols (words or bytes) of one document. Its anchor is the least hash of the
-`gram`-symbol pieces inside it, so equal windows have equal anchors, and neighbouring windows mostly share one: a
+A window is `length` consecutive symbols (words or bytes) of one document. Its anchor is the least hash (48 bits of it)
+of the `gram`-symbol pieces inside it, so equal windows have equal anchors, and neighbouring windows mostly share one: a
 document has far fewer anchors than windows. Only windows whose anchor occurs in two documents can repeat, and only
 those are looked at further.
 """
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from rulemill.llm.common import mix, pieces, prefix_hashes, range_hashes, rows_o
 # From bytes and row offsets to symbol values and row offsets in them.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 KEY = ["doc_id", "signature"]
+ANCHOR_SHIFT = np.uint64(16)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def windows(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     anchors = sliding_least(range_hashes(sums, at, at + gram), length - gram + 1)
     rows = rows_of(offsets)
     starts = np.flatnonzero(rows[:n - length + 1] == rows[length - 1:])
-    return starts, rows[starts], anchors[starts], sums
+    return starts, rows[starts], anchors[starts] >> ANCHOR_SHIFT, sums
 
 
 def run_starts(*columns: np.ndarray) -> np.ndarray:
@@ -89,38 +91,62 @@ def _anchor_rows(symbols: Symbols, length: int, gram: int):
             order = np.argsort(rows[at], kind="stable")
             at, known = at[order], known[order]
             spread = anchors[at].copy()
-            spread[known] = mix(spread[known] + rows[at][known].astype(np.uint64))
-            take = pa.array(rows[at])
+            spread[known] = mix(spread[known] + rows[at][known].astype(np.uint64)) >> ANCHOR_SHIFT
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(spread)), pa.array(signed(anchors[at])), part.column("doc_id").take(take),
-                 part.column("signature").take(take), pa.array(known)],
-                ["spread", "anchor", *KEY, "known"])
+                [pa.array(signed(spread)), pa.array(signed(anchors[at]), mask=~known), part.column("doc_id").take(pa.array(rows[at]))],
+                ["spread", "settled", "doc_id"])
 
     return run
 
 
 def repeated_anchors(texts: DataFrame, symbols: Symbols, length: int, gram: int) -> DataFrame:
-    """For each key the list of its anchors that another document has as well.
+    """For each doc_id the list of its anchors that another document has as well.
 
     A piece of a task sends each anchor once, so an anchor that a third of all documents have is as many rows as there
-    are pieces; the documents of that piece get it without a shuffle by the anchor.
+    are pieces; the documents of that piece get it (`settled`) without a shuffle by the anchor.
     """
-    rows = texts.select(*KEY, "text").mapInArrow(
-        _anchor_rows(symbols, length, gram), "spread long, anchor long, doc_id long, signature long, known boolean")
+    rows = texts.select("doc_id", "text").mapInArrow(_anchor_rows(symbols, length, gram), "spread long, settled long, doc_id long")
     of_anchor = Window.partitionBy("spread")
     repeated = (rows.withColumn("least", F.min("doc_id").over(of_anchor)).withColumn("most", F.max("doc_id").over(of_anchor))
-                .where(F.col("known") | (F.col("least") < F.col("most"))))
-    return repeated.groupBy(*KEY).agg(F.collect_list("anchor").alias("anchors"))
+                .where(F.col("settled").isNotNull() | (F.col("least") < F.col("most"))))
+    return repeated.groupBy("doc_id").agg(F.collect_list(F.coalesce("settled", "spread")).alias("anchors"))
 
 
-def with_marks(texts: DataFrame, anchors: DataFrame, copied: DataFrame) -> DataFrame:
-    """texts with their anchors that repeat, and `whole` true for exact copies.
+def packed(texts: DataFrame) -> DataFrame:
+    """doc_id, signature and the compressed text, for a shuffle that several joins share."""
 
-    The texts are joined as they are, so that a later join of them by the same key uses the same shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for part in pieces(batches):
+            data, offsets = text_bytes(part.column("text"))
+            raw = data.tobytes()
+            small = [press.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.array(small, pa.binary())], [*KEY, "packed"])
+
+    return texts.select(*KEY, "text").mapInArrow(run, "doc_id long, signature long, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches with a text column (as bytes) in place of the compressed one."""
+    expand = zstandard.ZstdDecompressor()
+    for part in pieces(batches, "packed", 1 << 18):
+        at = part.schema.get_field_index("packed")
+        texts = pa.array([expand.decompress(x) for x in part.column(at).to_pylist()], pa.binary())
+        yield from pieces(iter([part.set_column(at, "text", texts)]))
+
+
+def with_marks(texts: DataFrame, copied: DataFrame, marks: DataFrame) -> DataFrame:
+    """texts with what marks say of their doc_id, and in `copied` the signatures that are exact copies under this id.
+
+    The same table of texts, joined by the same key, uses the same shuffle each time.
     """
-    marks = (anchors.withColumn("whole", F.lit(False))
-             .unionByName(copied.withColumn("anchors", F.lit(None).cast("array<bigint>")).withColumn("whole", F.lit(True))))
-    return texts.join(marks, KEY, "left")
+    signatures = copied.groupBy("doc_id").agg(F.collect_set("signature").alias("copied"))
+    return texts.join(marks, "doc_id", "left").join(signatures, "doc_id", "left")
+
+
+def is_copy(part: pa.RecordBatch) -> np.ndarray:
+    own = part.column("signature").to_pylist()
+    return np.array([c is not None and s in c for s, c in zip(own, part.column("copied").to_pylist(), strict=True)], bool)
 
 
 def candidates(anchors: np.ndarray, rows: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
@@ -136,6 +162,20 @@ def candidates(anchors: np.ndarray, rows: np.ndarray, wanted: list[np.ndarray])
     return out
 
 
+def of_signature(part: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    """For each row the structs of its list that bear its signature, as rows of their other integer fields."""
+    listed = part.column(column)
+    offsets, valid = listed.offsets.to_numpy(), listed.is_valid().to_numpy(zero_copy_only=False)
+    fields = [listed.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(listed.type.value_type.num_fields)]
+    own = part.column("signature").to_numpy()
+    out = []
+    for k in range(len(listed)):
+        a, b = (offsets[k], offsets[k + 1]) if valid[k] else (0, 0)
+        mine = fields[0][a:b] == own[k]
+        out.append(np.stack([f[a:b][mine] for f in fields[1:]], axis=1))
+    return out
+
+
 def lists_of(column: pa.Array, kind=np.uint64) -> list[np.ndarray]:
     """Rows of an Arrow list column of integers; a null is an empty list."""
     offsets = column.offsets.to_numpy()

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm.common import mix, pieces, range_hashes, read_table, signed, text_bytes, word_bounds, word_hashes
-from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows, with_marks
+from rulemill.llm.common import mix, range_hashes, read_table, signed, text_bytes, word_bounds, word_hashes
+from rulemill.llm.repeats import (
+    KEY, candidates, copies, is_copy, keyed, lists_of, of_signature, packed, repeated_anchors, run_starts, unpacked, windows, with_marks,
+)
 from rulemill.session import materialize
 
 WINDOW = 20
@@ -37,13 +39,13 @@ def _window_rows(length: int, gram: int):
     """(spread, doc_id, signature, start, known) of the windows that may be repeated; known ones are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in unpacked(batches):
             values, before = word_symbols(*text_bytes(part.column("text")))
             starts, rows, anchors, sums = windows(values, before, length, gram)
             hashes = range_hashes(sums, starts, starts + length)
             ids = part.column("doc_id").fill_null(-1).to_numpy()
             inside = starts - before[rows]
-            apart = part.column("whole").fill_null(False).to_numpy(zero_copy_only=False) | part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            apart = is_copy(part) | part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             takes_part = ~apart[rows]
             rows, inside, anchors, hashes = rows[takes_part], inside[takes_part], anchors[takes_part], hashes[takes_part]
             # The first of each hash in this piece, by (doc_id, start), may meet earlier ones elsewhere; the rest is repeated.
@@ -78,26 +80,23 @@ def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def repeated_windows(texts: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For each key the starts of its repeated windows; `whole` marks exact copies."""
-    copied = materialize(copies(texts), "copies")
+def repeated_windows(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """For each doc_id the signatures and starts of its repeated windows."""
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, word_symbols, length, gram)
-    found = with_marks(texts, anchors, copied).mapInArrow(
+    found = with_marks(small, copied, anchors).mapInArrow(
         _window_rows(length, gram), "spread long, doc_id long, signature long, start int, known boolean")
     place = F.struct("doc_id", "start")
     repeated = (found.withColumn("first", F.min(place).over(Window.partitionBy("spread")))
                 .where(F.col("known") | (place > F.col("first"))))
-    return (repeated.groupBy(*KEY).agg(F.collect_list("start").alias("starts")).withColumn("whole", F.lit(False))
-            .unionByName(copied.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True))))
+    return repeated.groupBy("doc_id").agg(F.collect_list(F.struct("signature", "start")).alias("removed"))
 
 
 def _kept_words(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in unpacked(batches):
             data, offsets = text_bytes(part.column("text"))
-            starts = lists_of(part.column("starts"), np.int64)
-            whole = part.column("whole").fill_null(False).to_pylist()
+            starts, whole = of_signature(part, "removed"), is_copy(part)
             n_words, n_removed, digests = [], [], []
             for k in range(part.num_rows):
                 words = data[offsets[k]:offsets[k + 1]].tobytes().split()
@@ -105,7 +104,7 @@ def _kept_words(length: int):
                 if whole[k] and n >= length:
                     words = []
                 elif len(starts[k]):
-                    words = list(compress(words, (~covered(starts[k], n, length)).tolist()))
+                    words = list(compress(words, (~covered(starts[k][:, 0], n, length)).tolist()))
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
@@ -118,8 +117,10 @@ def _kept_words(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
     texts = keyed(docs)
-    marked = texts.join(repeated_windows(texts, length, gram), KEY, "left").select("doc_id", "text", "starts", "whole")
-    return marked.mapInArrow(_kept_words(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    small, copied = packed(texts), materialize(copies(texts), "copies")
+    marked = with_marks(small, copied, repeated_windows(texts, small, copied, length, gram))
+    return marked.select("doc_id", "signature", "packed", "removed", "copied").mapInArrow(
+        _kept_words(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.llm.common import BYTE_VALUE, mix, pieces, read_table, signed, text_bytes
-from rulemill.llm.repeats import KEY, candidates, copies, keyed, lists_of, repeated_anchors, run_starts, windows, with_marks
+from rulemill.llm.repeats import (
+    KEY, candidates, copies, is_copy, keyed, lists_of, of_signature, packed, repeated_anchors, run_starts, unpacked, windows, with_marks,
+)
 from rulemill.llm.suffix_array import common_prefixes, suffix_order
 from rulemill.session import materialize
 
@@ -68,17 +70,20 @@ def _intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return first, last + length
 
 
-_SENT = "spread long, doc_id long, signature long, start int, stop int, stretch binary"
+# place: start * 2**32 + length of the span.
+_SENT = "spread long, doc_id long, signature long, place long, stretch binary"
+
+
+def _placed(starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    return pa.array(starts.astype(np.int64) << 32 | (stops - starts).astype(np.int64))
 
 
 def _shard_rows(length: int, gram: int):
     """Spans that are settled in the shard (without a stretch), and the stretches of first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            part = part.filter(part.column("anchors").is_valid())
-            if not part.num_rows:
-                continue
+        known = (x.filter(x.column("anchors").is_valid()) for x in batches)
+        for part in unpacked(known):
             data, offsets = text_bytes(part.column("text"))
             starts, rows, anchors, _ = windows(*byte_symbols(data, offsets), length, gram)
             here = candidates(anchors, rows, lists_of(part.column("anchors")))
@@ -121,9 +126,8 @@ def _shard_rows(length: int, gram: int):
                 take = pa.array(np.concatenate(doc_row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate(spread))), part.column("doc_id").take(take), part.column("signature").take(take),
-                     pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(stop).astype(np.int32)),
-                     pa.array(text, pa.binary())],
-                    ["spread", *KEY, "start", "stop", "stretch"])
+                     _placed(np.concatenate(start), np.concatenate(stop)), pa.array(text, pa.binary())],
+                    ["spread", *KEY, "place", "stretch"])
 
     return run
 
@@ -182,12 +186,12 @@ class _Merger:
         new[1:] |= places[1:] != places[:-1] + 1
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(rows)) - 1
-        base = part.column("start").to_numpy()[rows[first]]
+        base = part.column("place").to_numpy()[rows[first]] >> 32
         take = pa.array(rows[first])
         return pa.RecordBatch.from_arrays(
             [part.column("doc_id").take(take), part.column("signature").take(take),
-             pa.array((base + places[first]).astype(np.int32)), pa.array((base + places[last] + self.length).astype(np.int32))],
-            [*KEY, "start", "stop"])
+             _placed(base + places[first], base + places[last] + self.length)],
+            [*KEY, "place"])
 
 
 def _merged(length: int):
@@ -196,7 +200,7 @@ def _merged(length: int):
         for part in pieces(batches, "stretch", BLOCK_BYTES):
             settled = part.filter(part.column("stretch").is_null())
             if settled.num_rows:
-                yield settled.select([*KEY, "start", "stop"])
+                yield settled.select([*KEY, "place"])
             open_rows = part.filter(part.column("stretch").is_valid())
             if open_rows.num_rows:
                 found = merger.block(open_rows)
@@ -206,35 +210,31 @@ def _merged(length: int):
     return run
 
 
-def removed_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """For each key the removed spans, which may touch or overlap; `whole` marks exact copies."""
-    copied = materialize(copies(texts), "copies")
+def removed_spans(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """For each doc_id the signatures and places of its removed spans, which may touch or overlap."""
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, byte_symbols, length, gram)
-    sent = with_marks(texts, anchors, copied).select(*KEY, "text", "anchors").mapInArrow(_shard_rows(length, gram), _SENT)
+    sent = with_marks(small, copied, anchors).select(*KEY, "packed", "anchors").mapInArrow(_shard_rows(length, gram), _SENT)
     spans = (sent.repartition("spread").sortWithinPartitions("spread", "doc_id")
-             .mapInArrow(_merged(length), "doc_id long, signature long, start int, stop int"))
-    return (spans.groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-            .withColumn("whole", F.lit(False))
-            .unionByName(copied.withColumn("starts", F.lit(None).cast("array<int>"))
-                         .withColumn("stops", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True))))
+             .mapInArrow(_merged(length), "doc_id long, signature long, place long"))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("signature", "place")).alias("removed"))
 
 
 def _kept_bytes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in unpacked(batches):
             data, offsets = text_bytes(part.column("text"))
-            starts, stops = (lists_of(part.column(c), np.int64) for c in ("starts", "stops"))
-            whole = part.column("whole").fill_null(False).to_pylist()
+            found, whole = of_signature(part, "removed"), is_copy(part)
             sizes, removed, n_spans, digests = np.diff(offsets), [], [], []
             for k, n in enumerate(sizes.tolist()):
                 text = data[offsets[k]:offsets[k + 1]]
                 if whole[k] and n >= length:
                     text, gone, spans = text[:0], n, 1
-                elif len(starts[k]):
+                elif len(found[k]):
+                    start, size = found[k][:, 0] >> 32, found[k][:, 0] & 0xFFFFFFFF
                     change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, starts[k], 1)
-                    np.add.at(change, stops[k], -1)
+                    np.add.at(change, start, 1)
+                    np.add.at(change, start + size, -1)
                     cut = np.cumsum(change[:n]) > 0
                     spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
                     text, gone = text[~cut], int(cut.sum())
@@ -252,8 +252,10 @@ def _kept_bytes(length: int):
 
 def remove_shared_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     texts = keyed(docs)
-    marked = texts.join(removed_spans(texts, length, gram), KEY, "left").select("doc_id", "text", "starts", "stops", "whole")
-    return marked.mapInArrow(_kept_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    small, copied = packed(texts), materialize(copies(texts), "copies")
+    marked = with_marks(small, copied, removed_spans(texts, small, copied, length, gram))
+    return marked.select("doc_id", "signature", "packed", "removed", "copied").mapInArrow(
+        _kept_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
