@@ -75,10 +75,10 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def learn_domains(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_words: int = N_WORDS) -> DomainModel:
-    """labelled: doc_id, text, domain."""
-    sample = (labelled.where(F.col("domain").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows)
-              .select(F.col("domain").cast("string").alias("domain"), F.array_distinct(words_of("text")).alias("words")))
+def learn_domains(labelled: DataFrame, n_words: int = N_WORDS) -> DomainModel:
+    """labelled: text and domain, a bounded sample."""
+    sample = labelled.where(F.col("domain").isNotNull()).select(
+        F.col("domain").cast("string").alias("domain"), F.array_distinct(words_of("text")).alias("words"))
     sample = materialize(sample.repartition(8), "labelled-words")
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -165,10 +165,14 @@ def members(docs: DataFrame, model: DomainModel) -> DataFrame:
     return model.with_posterior(out, "words", "posterior").select("doc_id", F.size("words").cast("long").alias("tokens"), "posterior")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table: documents of labels, with their language as domain."""
-    marks = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(marks, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+def labelled_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The labelled table: documents of at most `sample_rows` ids of labels, with their language as domain.
+
+    The ids are chosen before any text is read, so only they meet in one task.
+    """
+    marks = (labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "__id"))
+    return docs.join(marks, F.col("doc_id") == F.col("__id"), "left_semi").select("text", F.col("lang").alias("domain"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
