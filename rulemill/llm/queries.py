@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulemill.llm.merkle_audit import op5_merkle_audit
 from rulemill.llm.mixing import op9_mixing
 from rulemill.llm.near_dedup import op2_minhash_near_dedup
 from rulemill.llm.neighbours import op8_neighbours
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_merkle_audit": op5_merkle_audit,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_neighbours": op8_neighbours,

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulemill.llm import mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from rulemill.llm import merkle_audit, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from rulemill.llm.automaton import compile_patterns
 from rulemill.llm.graph import components
 from rulemill.llm.statistics import COUNTS, with_statistics
@@ -238,3 +238,29 @@ def test_mixing(spark, docs, labels, empty):
     alone = mixing.mix_documents(known, labels.limit(0)).collect()
     assert {(r.domain, r.posterior[0]) for r in alone} == {("all", 1.0)} and min(r.n_copies for r in alone) >= 1
     assert mixing.mix_documents(empty, labels).count() == 0
+
+
+def test_merkle_audit(spark):
+    pages = [(k, f"http://x/{k}", "é" * (k % 90)) for k in range(2500)] + [(5, None, None), (None, "u", "h")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    ours = merkle_audit.manifest(table)
+    assert merkle_audit.audit(ours, ours).count() == 0
+    at, want = {}, {}
+    for p, url, html in sorted((x for x in pages if x[0] is not None), key=lambda x: (x[0], x[1] is None)):
+        body = (html or "").encode()
+        size = len(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{p}>\r\nWARC-Target-URI: {url or ''}\r\n"
+                   f"Content-Length: {len(body)}\r\n\r\n".encode()) + len(body) + 4
+        want.setdefault(p, []).append((p // 1024, at.get(p // 1024, 0), size))
+        at[p // 1024] = at.get(p // 1024, 0) + size
+    got = {}
+    for r in merkle_audit.audit(ours, merkle_audit.damaged(ours)).collect():
+        fault = zlib.crc32(str(r.position).encode())
+        assert r.status == ("missing" if fault % 211 == 3 else "content" if fault % 53 == 7 else None)
+        if r.position != 5:
+            assert [(r.file, r.offset, r.length)] == want[r.position]
+        got.setdefault(r.position, []).append(r.status)
+    assert set(got) == {p for p in range(2500) if zlib.crc32(str(p).encode()) % 211 == 3 or zlib.crc32(str(p).encode()) % 53 == 7}
+    moved = ours.where("position <> 700").withColumn("offset", F.when(F.col("position") == 3, F.col("offset") + 1).otherwise(F.col("offset")))
+    grown = moved.union(ours.where("position = 1").select(F.lit(99_999).cast("long"), F.lit(97).cast("long"), "offset", "length", "digest"))
+    assert sorted((r.position, r.status) for r in merkle_audit.audit(ours, grown).collect()) == [(3, "range"), (700, "missing"), (99_999, "extra")]
+    assert merkle_audit.audit(ours.limit(0), ours.limit(0)).count() == 0
