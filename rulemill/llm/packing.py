@@ -10,14 +10,16 @@
    slice, so that no task holds a length) and looks its window and offset up in the plan.
 
 Texts are tokenised word by word: the tokenizer's patterns never cross white space, so each distinct word of a piece is
-encoded once. Defined cases: a null or empty text is the one end token; documents with the same id are packed each for
+encoded once; a process keeps what it has encoded, up to a bound. Defined cases: a null or empty text is the one end token; documents with the same id are packed each for
 itself; other columns are ignored; an empty table gives no rows; ties of length are broken by doc_id and checksum, so the
 result does not depend on partitions; a text of any length is cut into as many windows as it fills.
 """
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +32,59 @@ from rulemill.session import materialize
 CAPACITY = 4096
 END_TOKEN = 2
 TOKENIZER = "word_bpe_49k.json"
-# Words kept encoded in a task; beyond it the store starts anew.
-KNOWN_WORDS = 400_000
+# Words kept encoded in a process, about 30 bytes each; beyond it the store starts anew. Words encoded in one call.
+KNOWN_WORDS = 1_000_000
+WORDS_AT_ONCE = 20_000
 
 
 class WordEncoder:
-    """Ids of whole texts, from ids of distinct words; a task keeps the words it has met, up to a bound."""
+    """Ids of whole texts, from ids of distinct words; a process keeps the words it has met, up to a bound."""
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), known_words
         self._forget()
 
     def _forget(self) -> None:
+        # Sorted hashes, and for each the place and number of its ids.
         self.hashes = np.empty(0, np.uint64)
-        self.offsets = np.zeros(1, np.int64)
-        self.order = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.begin = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint16)
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        if len(self.hashes) + len(words) > self.bound:
-            self._forget()
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in found]) + self.offsets[-1]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
-        self.offsets = np.concatenate([self.offsets, ends])
-        together = np.concatenate([self.hashes, hashes])
-        numbers = np.concatenate([self.order, np.arange(len(self.order), len(self.order) + len(hashes))])
-        by_hash = np.argsort(together)
-        self.hashes, self.order = together[by_hash], numbers[by_hash]
+        """hashes ascend, and none is known yet."""
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            some, own = words[first:first + WORDS_AT_ONCE], hashes[first:first + WORDS_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
+            ids, of_word = found.ids, found.word_ids
+            if None in of_word:  # special tokens inside a text belong to no word
+                single = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                ids, of_word = [i for x in single for i in x], [k for k, x in enumerate(single) for _ in x]
+            count = np.bincount(np.array(of_word, np.int64), minlength=len(some)).astype(np.int32)
+            begin = np.cumsum(count, dtype=np.int64) - count + len(self.ids)
+            self.ids = np.concatenate([self.ids, np.array(ids, np.uint16)])
+            at = np.searchsorted(self.hashes, own)
+            self.hashes = np.insert(self.hashes, at, own)
+            self.begin = np.insert(self.begin, at, begin)
+            self.count = np.insert(self.count, at, count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end token behind each row's, and the rows' offsets in them."""
         starts, ends, words_before = word_bounds(data, offsets)
         hashes = word_hashes(data, starts, ends)
         distinct, first, of_word = np.unique(hashes, return_index=True, return_inverse=True)
-        for again in range(2):
-            at = np.searchsorted(self.hashes, distinct)
-            known = np.zeros(len(distinct), bool)
-            inside = at < len(self.hashes)
-            known[inside] = self.hashes[at[inside]] == distinct[inside]
-            if known.all():
-                break
-            if again or len(self.hashes) + int((~known).sum()) > self.bound:
-                self._forget()
-                known[:] = False
+        new = self._unknown(distinct)
+        if len(new) and len(self.hashes) + len(new) > self.bound:
+            self._forget()
+            new = np.arange(len(distinct))
+        if len(new):
             raw = data.tobytes()
-            new = np.flatnonzero(~known)
-            self._learn([raw[starts[i]:ends[i]].decode() for i in first[new]], distinct[new])
-        number = self.order[np.searchsorted(self.hashes, distinct)]
-        begin, count = self.offsets[number], self.offsets[number + 1] - self.offsets[number]
-        begin, count = begin[of_word.ravel()], count[of_word.ravel()]
+            self._learn([raw[starts[i]:ends[i]].decode() for i in first[new].tolist()], distinct[new])
+        number = np.searchsorted(self.hashes, distinct)[of_word.ravel()]
+        begin, count = self.begin[number], self.count[number].astype(np.int64)
         # Where each word's ids go: behind those of the words before it, and one end token per row before its own.
         before = np.concatenate([[0], np.cumsum(count)])
         row_ids = before[words_before] + np.arange(len(offsets))
@@ -94,6 +97,17 @@ class WordEncoder:
             out[np.arange(total) + np.repeat(rows, count)] = self.ids[np.repeat(begin, count) + shift]
         return out, row_ids
 
+    def _unknown(self, distinct: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, distinct)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == distinct[known]
+        return np.flatnonzero(~known)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -102,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """Full windows and the rest of each document, with the checksum of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for part in pieces(batches):
             ids, offsets = encoder.encode(*text_bytes(part.column("text")))
             out: list[list[int]] = [[] for _ in range(5)]
