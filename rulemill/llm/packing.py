@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_TOKEN = 2
 TOKENIZER = "word_bpe_49k.json"
 # Words kept encoded in a process, about 30 bytes each; beyond it the store starts anew. Words encoded in one call.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 2_500_000
 WORDS_AT_ONCE = 20_000
 
 
