@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rulemill.llm.common import BYTE_VALUE, mix, pieces, read_table, signed, text_bytes
 from rulemill.llm.repeats import (
-    KEY, candidates, copies, is_copy, keyed, lists_of, of_signature, packed, repeated_anchors, run_starts, unpacked, windows, with_marks,
+    KEY, candidates, copies, is_copy, keyed, lists_of, packed, repeated_anchors, run_starts, unpacked, windows, with_marks,
 )
 from rulemill.llm.suffix_array import common_prefixes, suffix_order
 from rulemill.session import materialize
@@ -70,12 +70,32 @@ def _intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return first, last + length
 
 
-# place: start * 2**32 + length of the span.
-_SENT = "spread long, doc_id long, signature long, place long, stretch binary"
+# A place is one number: the start of a span (30 bits), its length (13 bits) and 20 bits of the signature of its text,
+# which tell rows with one id but different texts apart. Longer spans are cut.
+LENGTH_BITS, MARK_BITS = 13, 20
+LONGEST = 4096
+_SENT = "spread long, doc_id long, place long, stretch binary"
 
 
-def _placed(starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    return pa.array(starts.astype(np.int64) << 32 | (stops - starts).astype(np.int64))
+def _marks(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("signature").to_numpy() & ((1 << MARK_BITS) - 1)
+
+
+def _placed(starts: np.ndarray, stops: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return (starts.astype(np.int64) << LENGTH_BITS | (stops - starts).astype(np.int64)) << MARK_BITS | marks
+
+
+def _spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = places >> MARK_BITS
+    start = both >> LENGTH_BITS
+    return start, start + (both & ((1 << LENGTH_BITS) - 1))
+
+
+def _cut(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans in parts of at most LONGEST."""
+    n = -(-(stops - starts) // LONGEST)
+    begin = np.repeat(starts, n) + LONGEST * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    return begin, np.minimum(begin + LONGEST, np.repeat(stops, n))
 
 
 def _shard_rows(length: int, gram: int):
@@ -96,38 +116,38 @@ def _shard_rows(length: int, gram: int):
             np.minimum.at(least, group, ids[rows[order]])
             removed = np.zeros(len(starts), bool)
             removed[order] = ids[rows[order]] > least[group]
-            spread, doc_row, start, stop, text = [], [], [], [], []
+            marks = _marks(part)
+            spread, doc_row, place, text = [], [], [], []
 
             gone = np.flatnonzero(removed)
             lead = run_starts(rows[gone]) if len(gone) else np.zeros(0, bool)
             for k, at in enumerate(np.split(gone, np.flatnonzero(lead)[1:])):
                 if len(at):
                     row = int(rows[at[0]])
-                    a, b = _intervals(starts[at] - offsets[row], length)
+                    a, b = _cut(*_intervals(starts[at] - offsets[row], length))
                     spread.append(mix(a.astype(np.uint64) + np.uint64(row << 32)))
                     doc_row.append(np.full(len(a), row))
-                    start.append(a)
-                    stop.append(b)
+                    place.append(_placed(a, b, marks[row]))
                     text += [None] * len(a)
             left = np.flatnonzero(~removed)
             if len(left):
                 s, r, m = starts[left], rows[left], anchors[left]
                 new = run_starts(r, m)
                 new[1:] |= s[1:] != s[:-1] + 1
+                new[(np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))) % LONGEST == 0] = True
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(s)) - 1
                 spread.append(m[first])
                 doc_row.append(r[first])
-                start.append(s[first] - offsets[r[first]])
-                stop.append(s[last] + length - offsets[r[first]])
+                place.append(_placed(s[first] - offsets[r[first]], s[last] + length - offsets[r[first]], marks[r[first]]))
                 raw = data.tobytes()
                 text += [raw[x:y] for x, y in zip(s[first].tolist(), (s[last] + length).tolist(), strict=True)]
             if doc_row:
                 take = pa.array(np.concatenate(doc_row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(spread))), part.column("doc_id").take(take), part.column("signature").take(take),
-                     _placed(np.concatenate(start), np.concatenate(stop)), pa.array(text, pa.binary())],
-                    ["spread", *KEY, "place", "stretch"])
+                    [pa.array(signed(np.concatenate(spread))), part.column("doc_id").take(take), pa.array(np.concatenate(place)),
+                     pa.array(text, pa.binary())],
+                    ["spread", "doc_id", "place", "stretch"])
 
     return run
 
@@ -186,12 +206,12 @@ class _Merger:
         new[1:] |= places[1:] != places[:-1] + 1
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(rows)) - 1
-        base = part.column("place").to_numpy()[rows[first]] >> 32
-        take = pa.array(rows[first])
+        sent = part.column("place").to_numpy()[rows[first]]
+        base, marks = _spans(sent)[0], sent & ((1 << MARK_BITS) - 1)
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(take), part.column("signature").take(take),
-             _placed(base + places[first], base + places[last] + self.length)],
-            [*KEY, "place"])
+            [part.column("doc_id").take(pa.array(rows[first])),
+             pa.array(_placed(base + places[first], base + places[last] + self.length, marks))],
+            ["doc_id", "place"])
 
 
 def _merged(length: int):
@@ -200,7 +220,7 @@ def _merged(length: int):
         for part in pieces(batches, "stretch", BLOCK_BYTES):
             settled = part.filter(part.column("stretch").is_null())
             if settled.num_rows:
-                yield settled.select([*KEY, "place"])
+                yield settled.select(["doc_id", "place"])
             open_rows = part.filter(part.column("stretch").is_valid())
             if open_rows.num_rows:
                 found = merger.block(open_rows)
@@ -211,32 +231,32 @@ def _merged(length: int):
 
 
 def removed_spans(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """For each doc_id the signatures and places of its removed spans, which may touch or overlap."""
+    """For each doc_id the places of its removed spans, which may touch or overlap."""
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, byte_symbols, length, gram)
     sent = with_marks(small, copied, anchors).select(*KEY, "packed", "anchors").mapInArrow(_shard_rows(length, gram), _SENT)
     spans = (sent.repartition("spread").sortWithinPartitions("spread", "doc_id")
-             .mapInArrow(_merged(length), "doc_id long, signature long, place long"))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("signature", "place")).alias("removed"))
+             .mapInArrow(_merged(length), "doc_id long, place long"))
+    return spans.groupBy("doc_id").agg(F.collect_list("place").alias("removed"))
 
 
 def _kept_bytes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpacked(batches):
             data, offsets = text_bytes(part.column("text"))
-            found, whole = of_signature(part, "removed"), is_copy(part)
+            found, marks, whole = lists_of(part.column("removed"), np.int64), _marks(part), is_copy(part)
             sizes, removed, n_spans, digests = np.diff(offsets), [], [], []
             for k, n in enumerate(sizes.tolist()):
                 text = data[offsets[k]:offsets[k + 1]]
                 if whole[k] and n >= length:
                     text, gone, spans = text[:0], n, 1
                 elif len(found[k]):
-                    start, size = found[k][:, 0] >> 32, found[k][:, 0] & 0xFFFFFFFF
+                    start, stop = _spans(found[k][found[k] & ((1 << MARK_BITS) - 1) == marks[k]])
                     change = np.zeros(n + 1, np.int64)
                     np.add.at(change, start, 1)
-                    np.add.at(change, start + size, -1)
+                    np.add.at(change, stop, -1)
                     cut = np.cumsum(change[:n]) > 0
-                    spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
+                    spans = int(cut[:1].sum()) + int((cut[1:] & ~cut[:-1]).sum())
                     text, gone = text[~cut], int(cut.sum())
                 else:
                     gone, spans = 0, 0
