@@ -223,6 +223,30 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Answers hold ids: rows of one id, alike or with other vectors, do not push out other ids."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((300, 16)).astype(np.float32)
+    vectors[50] = vectors[51] = 3 * vectors[0]
+    rows = [(k, v) for k, v in enumerate(vectors)] * 2 + [(50, vectors[50])] * 40
+    rows += [(70, (3 * vectors[20] + 0.01 * rng.standard_normal(16)).astype(np.float32)) for _ in range(400)]
+    rows += [(0, vectors[7])]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<float>")
+    out = neighbours.nearest(table, table.where(F.col("vec_id") % 20 == 0)).collect()
+    ids, exact = np.array([k for k, _ in rows]), np.array([v for _, v in rows], float)
+    recall = []
+    for q in range(0, 300, 20):
+        scores = (exact @ exact[ids == q].T).max(axis=1)
+        of_id = {k: scores[ids == k].max() for k in range(300) if k != q}
+        best = sorted(of_id, key=lambda k: (-round(of_id[k], 9), k))[:20]
+        mine = {r.vec_id: r for r in out if r.query_id == q}
+        assert sorted(r.rank for r in mine.values()) == list(range(1, 21))
+        recall.append(len(set(best) & {k for k in mine if abs(mine[k].score - of_id[k]) < 1e-9}) / 20)
+        if q == 0:
+            assert {50, 51} <= set(mine)
+    assert np.mean(recall) >= 0.9
+
+
 def test_mixing(spark, docs, labels, empty):
     known = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")).withColumn(
         "text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, " the of and").otherwise(" le la et")))
