@@ -5,7 +5,8 @@ length counters) and tells which rules have a lead in a segment. A segment is a
 any rule holds (such as line ends), so no match crosses one, and many segments are read side by side: step t moves all
 segments that are longer than t by one lookup in the transition array. Only segments with a lead are read again, by the
 automaton of that rule, for the exact spans: leftmost, longest, without overlaps inside one kind; a match below the
-rule's least length is dropped but still uses up its bytes.
+rule's least length is dropped but still uses up its bytes. What a rule has beyond a segment (the lines of a private key)
+is read on from the end of its match, in the bytes of the row.
 
 Texts are UTF-8 bytes; offsets are given in code points, end exclusive. Defined cases: a null or empty text has no
 spans; documents with the same id are scanned each for itself; ties do not arise, as a kind never has two spans with
@@ -16,6 +17,7 @@ becomes the new length. Memory is bounded by the bytes of one piece of a batch.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,11 +35,15 @@ PIECE = 4 << 20
 
 @dataclass(frozen=True)
 class SecretRule:
-    """`found` is what a match is; `kept` are the matches that are long enough, each of which begins with a `lead`."""
+    """`found` is what a match is; `kept` are the matches that are long enough, each of which begins with a `lead`.
+
+    `rests` are regular expressions for what follows a match and belongs to its span; the first that matches counts.
+    """
     kind: str
     lead: str
     found: str
     kept: str
+    rests: tuple[bytes, ...] = ()
 
 
 # The base kinds, in the order they are listed.
@@ -53,9 +59,19 @@ def _same(kind: str, lead: str, pattern: str) -> SecretRule:
     return SecretRule(kind, lead, pattern, pattern)
 
 
+# What follows the first line of a private key: all up to its END line, if no other such line comes before. Without END: header
+# fields, then lines of base64 between line ends (also written as escapes), quotes and signs of comments, and a last shorter
+# one that has its line to itself or ends the text. Nothing is tried twice, so the time is linear.
+_BREAK = rb"""(?:\\[rnt]|[\s"'\\,;>#*|+])"""
+_PEM = (
+    rb"(?s:(?!-----).)*+-----END [A-Z ]*+(?<=PRIVATE KEY)-----",
+    rb"(?:" + _BREAK + rb"*+[A-Za-z][A-Za-z0-9-]*+:[ \t]*+(?:(?!\\[rn])\S)++)*+(?:(?:" + _BREAK + rb"*+[A-Za-z0-9+/=]{16,}+)++(?:" + _BREAK
+    + rb"""*+[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n"']|\\[rn]|\Z)))?+|""" + _BREAK + rb"*+[A-Za-z0-9+/=]++\Z)?+",
+)
+
 # Published forms of keys with a prefix of their own.
 MORE = (
-    _same("private_key", "-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("private_key", "-----BEGIN ", *[r"-----BEGIN [A-Z ]*PRIVATE KEY-----"] * 2, _PEM),
     _same("jwt", "eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     _same("forge_token", "gh[oprsu]_[A-Za-z0-9]", r"gh[oprsu]_[A-Za-z0-9]{20,}"),
     _same("chat_token", "xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -141,6 +157,11 @@ def _scan(segment: bytes, found: Automaton, kept: Automaton) -> list[tuple[int,
     return out
 
 
+def _with_rest(text: bytes, end: int, rests: tuple[bytes, ...]) -> int:
+    """The end of a match together with what follows it."""
+    return next((m.end() for m in (re.compile(r).match(text, end) for r in rests) if m), end)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, rules: tuple[SecretRule, ...] = RULES) -> dict[int, list[tuple[int, int, int]]]:
     """For rows with a match: (start, rule, end) in bytes of the row, ordered."""
     combined, outside, single = _compiled(rules)
@@ -151,7 +172,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, rules: tuple[SecretRule, ...] =
         shift = start - int(offsets[row])
         for k in range(len(rules)):
             if bits >> k & 1:
-                out.setdefault(row, []).extend((shift + a, k, shift + b) for a, b in _scan(segment, *single[k]))
+                found = [(shift + a, k, shift + b) for a, b in _scan(segment, *single[k])]
+                if found and rules[k].rests:
+                    text = data[offsets[row]:offsets[row + 1]].tobytes()
+                    found = [(a, k, _with_rest(text, b, rules[k].rests)) for a, k, b in found]
+                out.setdefault(row, []).extend(found)
     return {row: sorted(found) for row, found in out.items()}
 
 

@@ -147,6 +147,24 @@ def test_redaction(spark, docs, rows):
         assert r.text == text or any(f"[{k.kind}]" in r.text for k in secret_scan.RULES)
 
 
+def test_private_keys(spark):
+    """The whole block is one span and leaves nothing when redacted."""
+    r = random.Random(9)
+    body = ["".join(r.choice("ABCDEFabcdefghijkz0189+/") for _ in range(64)) for _ in range(20)] + ["Qk9keQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    blocks = [e.join([begin, *body, end]) for e in ("\n", "\r\n", "\\n", " ", '\\n" +\n  "', "\n# ", "<br>")]
+    blocks += ["\n".join([begin, *fields, *body, end]), "\n".join([begin, *body]), "\n".join([begin, *fields, *body]), "\\n".join([begin, *body])]
+    texts = [f"é before {b}\n, after: words go on" for b in blocks] + [f"é before {begin}\nMIIEvQ", f"é before {blocks[0]}\n{blocks[1]}"]
+    out = {x.doc_id: x for x in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(len(blocks)):
+        assert out[k].text == "é before [private_key]\n, after: words go on", (k, out[k].text)
+    assert out[len(blocks)].text == "é before [private_key]" and out[len(blocks) + 1].text == "é before [private_key]\n[private_key]"
+    prose = [f"The line {begin} begins a key; see the manual.", f"Look for {begin} in the file\nand remove it"]
+    for row in secret_scan.redact(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")).collect():
+        assert row.text == prose[row.doc_id].replace(begin, "[private_key]")
+
+
 def test_automaton():
     import re
 
