@@ -251,8 +251,16 @@ def ingest_products(
 
 
 def scan_products_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Normalized JSON lines with the product schema; blank lines are skipped."""
-    return spark.read.schema(PRODUCT_SCHEMA).json(path).where(F.col("product_id").isNotNull())
+    """Normalized JSON lines with the product schema, one row per line. Only blank lines are skipped.
+
+    A line that is not one JSON object, or has a value of another type than its column, fails the read. An empty object
+    behind each line makes a second document on it show.
+    """
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    documents = F.from_json(F.concat(F.lit("["), "value", F.lit(",{}]")), T.ArrayType(PRODUCT_SCHEMA), {**_JSON, "mode": "FAILFAST"})
+    one = F.when((F.size(documents) == 2) & documents[0].isNotNull(), F.slice(documents, 1, 1)).otherwise(
+        F.raise_error(F.concat(F.lit("not one JSON object: "), F.substring("value", 1, 200))))
+    return lines.select(F.inline(one))
 
 
 def scan_products_table(spark: SparkSession, path: str) -> DataFrame:
