@@ -6,7 +6,9 @@
    smallest document the string is removed.
 3. What is left of a shard, the first occurrences, is sent as short stretches under their anchor. Where the stretches of
    all shards meet, their strings are merged in sorted order: each block looks its strings up among those of smaller
-   documents by binary search.
+   documents by binary search. Strings of an anchor with very many windows (hot, as a sample of the documents tells) go
+   one by one under a hash of their own instead, so no task holds all strings of such an anchor; which anchors count as
+   hot changes the load, not the result.
 4. The removed strings of a document are united into maximal spans.
 
 Defined cases: a null or empty text has no bytes; fewer than LENGTH bytes have no string; a null id takes no part
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.llm.common import BYTE_VALUE, mix, pieces, read_table, signed, text_bytes
+from rulemill.llm.common import BYTE_VALUE, mix, pieces, range_hashes, read_table, signed, text_bytes
 from rulemill.llm.repeats import (
     KEY, candidates, copies, is_copy, keyed, lists_of, packed, repeated_anchors, run_starts, unpacked, windows, with_marks,
 )
@@ -35,6 +37,10 @@ LENGTH = 50
 GRAM = 16
 # Strings merged at once where the stretches of an anchor meet.
 BLOCK_BYTES = 1 << 20
+# An anchor is hot from so many windows on, as estimated from one document in SAMPLED and all those over LARGE bytes.
+HOT_WINDOWS = 1 << 17
+SAMPLED = 16
+LARGE = 1 << 20
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +104,35 @@ def _cut(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.minimum(begin + LONGEST, np.repeat(stops, n))
 
 
-def _shard_rows(length: int, gram: int):
+def _window_counts(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            _, rows, anchors, _ = windows(*byte_symbols(*text_bytes(part.column("text"))), length, gram)
+            distinct, at = np.unique(anchors, return_inverse=True)
+            n = np.bincount(at, part.column("weight").to_numpy()[rows], len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(distinct)), pa.array(n)], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Sorted anchors of HOT_WINDOWS windows or more, by estimate: at most one in HOT_WINDOWS of all windows."""
+    large = F.octet_length("text") > LARGE
+    sample = texts.where(large | (F.pmod(F.xxhash64(*KEY), F.lit(SAMPLED)) == 0)).select(
+        "text", F.when(large, 1).otherwise(SAMPLED).cast("long").alias("weight"))
+    counts = sample.mapInArrow(_window_counts(length, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= HOT_WINDOWS).select("anchor").toArrow().column("anchor").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _shard_rows(length: int, gram: int, hot: np.ndarray):
     """Spans that are settled in the shard (without a stretch), and the stretches of first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = (x.filter(x.column("anchors").is_valid()) for x in batches)
         for part in unpacked(known):
             data, offsets = text_bytes(part.column("text"))
-            starts, rows, anchors, _ = windows(*byte_symbols(data, offsets), length, gram)
+            starts, rows, anchors, sums = windows(*byte_symbols(data, offsets), length, gram)
             here = candidates(anchors, rows, lists_of(part.column("anchors")))
             starts, rows, anchors = starts[here], rows[here], anchors[here]
             if not len(starts):
@@ -132,6 +159,9 @@ def _shard_rows(length: int, gram: int):
             left = np.flatnonzero(~removed)
             if len(left):
                 s, r, m = starts[left], rows[left], anchors[left]
+                if len(hot):
+                    alone = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m
+                    m = np.where(alone, range_hashes(sums, s, s + length), m)
                 new = run_starts(r, m)
                 new[1:] |= s[1:] != s[:-1] + 1
                 new[(np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))) % LONGEST == 0] = True
@@ -230,11 +260,17 @@ def _merged(length: int):
     return run
 
 
-def removed_spans(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """For each doc_id the places of its removed spans, which may touch or overlap."""
+def sent_rows(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int, gram: int) -> DataFrame:
+    """What the shards send: settled spans, and stretches under the key where equal strings meet."""
     alone = texts.where(F.col("doc_id").isNotNull()).join(copied, KEY, "left_anti")
     anchors = repeated_anchors(alone, byte_symbols, length, gram)
-    sent = with_marks(small, copied, anchors).select(*KEY, "packed", "anchors").mapInArrow(_shard_rows(length, gram), _SENT)
+    hot = hot_anchors(texts.where(F.col("doc_id").isNotNull()), length, gram)
+    return with_marks(small, copied, anchors).select(*KEY, "packed", "anchors").mapInArrow(_shard_rows(length, gram, hot), _SENT)
+
+
+def removed_spans(texts: DataFrame, small: DataFrame, copied: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """For each doc_id the places of its removed spans, which may touch or overlap."""
+    sent = sent_rows(texts, small, copied, length, gram)
     spans = (sent.repartition("spread").sortWithinPartitions("spread", "doc_id")
              .mapInArrow(_merged(length), "doc_id long, place long"))
     return spans.groupBy("doc_id").agg(F.collect_list("place").alias("removed"))

@@ -207,6 +207,32 @@ def test_strings_of_one_anchor_over_many_blocks(docs, rows, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute.shared_bytes(rows, 50)
 
 
+def test_strings_of_a_frequent_line(spark, monkeypatch):
+    """A line shorter than a string, with other text around it in each document: no key gathers all its strings."""
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", 1000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1, raising=False)
+    r = random.Random(12)
+
+    def word(n):
+        return "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+
+    line, rows = word(40), []
+    for i in range(400):
+        rows.append((i, word(60) + line + word(60) if i % 5 or not i else rows[i - 4][1][20:] + word(9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = suffix_dedup.remove_shared_bytes(docs).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out} == brute.shared_bytes(rows, 50)
+    texts = suffix_dedup.keyed(docs)
+
+    def most_strings():
+        sent = suffix_dedup.sent_rows(texts, suffix_dedup.packed(texts), suffix_dedup.copies(texts), 50, 16).where("stretch is not null")
+        return sent.groupBy("spread").agg(F.sum(F.octet_length("stretch") - 49).alias("n")).agg(F.max("n")).first()[0]
+
+    assert most_strings() <= 1000
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", 1 << 40)
+    assert most_strings() > 1000
+
+
 @pytest.mark.parametrize("letters,n", [(1, 90), (2, 400), (20, 1500)])
 def test_suffix_array(letters, n):
     text = np.random.default_rng(n).integers(97, 97 + letters, n).astype(np.uint8)
