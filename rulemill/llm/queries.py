@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulemill.llm import oracles
 from rulemill.llm.merkle_audit import op5_merkle_audit
+from rulemill.llm.merkle_manifest import op13_merkle_manifest
 from rulemill.llm.mixing import op9_mixing
 from rulemill.llm.near_dedup import op2_minhash_near_dedup
 from rulemill.llm.neighbours import op8_neighbours
@@ -27,5 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
+}
+ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
-ORACLES: dict[str, str] = {}
