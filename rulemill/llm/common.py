@@ -104,9 +104,12 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the number of words before it (one entry more than rows)."""
-    word = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the number of words before it (one entry more than rows).
+
+    between: true for the bytes that are part of no word.
+    """
+    word = ~between[data]
     n = len(data)
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]

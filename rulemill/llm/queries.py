@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.llm import oracles
+from rulemill.llm.decontamination import op12_decontamination
 from rulemill.llm.merkle_audit import op5_merkle_audit
 from rulemill.llm.merkle_manifest import op13_merkle_manifest
 from rulemill.llm.mixing import op9_mixing
@@ -29,8 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
+    "op12_decontamination": oracles.DECONTAMINATION,
     "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
