@@ -36,13 +36,13 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     NOT_A_WORD[_a:_b] = False
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All lower-cased words of a text column, as bytes, and for each row the number of words before it."""
+def words_of(texts: pa.Array, between: np.ndarray = NOT_A_WORD) -> tuple[pa.Array, np.ndarray]:
+    """All lower-cased words of a text column, as bytes, and for each row the number of words before it; between: bytes of no word."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
-    starts, ends, before = word_bounds(data, offsets, NOT_A_WORD)
+    starts, ends, before = word_bounds(data, offsets, between)
     at = np.concatenate([[0], np.cumsum(ends - starts)])
-    inside = data[~NOT_A_WORD[data]]
+    inside = data[~between[data]]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(inside)])
     return words, before
 

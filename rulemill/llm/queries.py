@@ -16,6 +16,7 @@ from rulemill.llm.packing import op3_packing
 from rulemill.llm.quality_classifier import op1_quality_classifier
 from rulemill.llm.quality_rules import op6_quality_rules
 from rulemill.llm.secret_scan import op4_secret_scan
+from rulemill.llm.source_divergence import op11_source_divergence
 from rulemill.llm.substring_dedup import op7_substring_dedup
 from rulemill.llm.suffix_dedup import op10_suffix_array_dedup
 
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
     "op12_decontamination": oracles.DECONTAMINATION,
     "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
