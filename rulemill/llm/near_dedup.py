@@ -279,7 +279,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: one document of each group of five-word, 0.8-similar texts stays, that of the smallest id."""
+    """The pipeline's stage: one document of each group of five-word, 0.8-similar texts stays, that of the smallest id.
+
+    Rows with the id that stays but unlike texts all stay; of rows with one id and one text the least by the other columns, in
+    their order, stays; rows without an id stay as they are.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    one = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if others:
+        one = one.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__least"))
+        one = one.select("doc_id", "text", *(F.col("__least")[c].alias(c) for c in others))
+    else:
+        one = one.distinct()
+    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
