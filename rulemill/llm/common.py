@@ -121,8 +121,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+PLACES = 64
+PLACE_VALUE = _rng.integers(1, 1 << 63, (PLACES, 256), dtype=np.uint64).ravel()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(prefix_hashes(BYTE_VALUE[data]), starts, ends)
+    """Sums of a random value for each pair of byte and place in the word, so that no pattern of letters collides by its structure."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(starts[0], len(data), dtype=kind) - np.repeat(starts.astype(kind), np.diff(starts, append=len(data)))
+    values = PLACE_VALUE[((place & (PLACES - 1)) << 8) | data[starts[0]:]]
+    far = np.flatnonzero(place >= PLACES)
+    values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(_BASE))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[ends - starts[0]] - sums[starts - starts[0]])
 
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm.common import pieces, read_table, text_bytes, word_bounds, word_hashes
+from rulemill.llm.common import IS_SPACE, pieces, read_table, text_bytes, word_bounds, word_hashes
 from rulemill.session import materialize
 
 CAPACITY = 4096
@@ -74,16 +74,20 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end token behind each row's, and the rows' offsets in them."""
         starts, ends, words_before = word_bounds(data, offsets)
-        hashes = word_hashes(data, starts, ends)
-        distinct, first, of_word = np.unique(hashes, return_index=True, return_inverse=True)
+        # Words of these texts are told apart by their bytes; the store finds them by hash.
+        at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[~IS_SPACE[data]])])
+        coded = words.dictionary_encode()
+        letters, bounds = text_bytes(coded.dictionary)
+        distinct, first, of_hash = np.unique(word_hashes(letters, bounds[:-1], bounds[1:]), return_index=True, return_inverse=True)
+        of_word = of_hash.ravel()[coded.indices.to_numpy()]
         new = self._unknown(distinct)
         if len(new) and len(self.hashes) + len(new) > self.bound:
             self._forget()
             new = np.arange(len(distinct))
         if len(new):
-            raw = data.tobytes()
-            self._learn([raw[starts[i]:ends[i]].decode() for i in first[new].tolist()], distinct[new])
-        number = np.searchsorted(self.hashes, distinct)[of_word.ravel()]
+            self._learn([word.decode() for word in coded.dictionary.take(pa.array(first[new])).to_pylist()], distinct[new])
+        number = np.searchsorted(self.hashes, distinct)[of_word]
         begin, count = self.begin[number], self.count[number].astype(np.int64)
         # Where each word's ids go: behind those of the words before it, and one end token per row before its own.
         before = np.concatenate([[0], np.cumsum(count)])

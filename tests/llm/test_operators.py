@@ -64,6 +64,29 @@ def test_near_duplicates_of_odd_tables(spark, empty):
     assert got == [(-1, -1, True), (3, 3, True), (5, 5, True), (5, 5, True), (9, 5, False)]
     kept = near_dedup.stage(spark, odd, "")
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 5]
+    unlike = [(5, text, "x"), (5, text, "b"), (5, text, None), (5, "other words of the same id stay as well", "x"), (9, text, "a")]
+    kept = near_dedup.stage(spark, spark.createDataFrame(unlike, "doc_id long, text string, source string"), "")
+    assert sorted((r.text, r.source or "") for r in kept.collect()) == [(text, ""), ("other words of the same id stay as well", "x")]
+
+
+def test_words_of_equal_structure(spark):
+    """Words of two letters in the Thue-Morse order and its mirror, which polynomials modulo a power of two cannot tell apart."""
+    from tokenizers import Tokenizer
+
+    mirror, word = str.maketrans("ab", "ba"), "a"
+    while len(word) < 2048:
+        word += word.translate(mirror)
+    one = [f"k{k}" for k in range(19)]
+    texts = [(i, " ".join([*one[:k], w, *one[k:]])) for i, (k, w) in enumerate([(3, word), (3, word.translate(mirror)), (9, word), (9, word)])]
+    table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(table).collect()}
+    assert got == brute.repeated_words(texts, 20)
+    kind = near_dedup.Similarity(words=3, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table, kind).collect()} == brute.near_components(texts, 3, 85)
+    path = packing._tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    crc = {i: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in texts}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(table, path).collect()} == crc
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
