@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -24,6 +25,19 @@ class _Nfa:
         self.moves.append([])
         return len(self.free) - 1
 
+    def turned(self) -> _Nfa:
+        """The same states with every move the other way round."""
+        out = _Nfa()
+        for _ in self.free:
+            out.state()
+        for s, targets in enumerate(self.free):
+            for t in targets:
+                out.free[t].append(s)
+        for s, moves in enumerate(self.moves):
+            for allowed, t in moves:
+                out.moves[t].append((allowed, s))
+        return out
+
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
         while todo:
@@ -157,6 +171,11 @@ class Automaton:
     moves: np.ndarray
     accepts: np.ndarray
 
+    @cached_property
+    def lists(self) -> tuple[list[list[int]], list[int]]:
+        """Both arrays as lists, which are faster to look up one by one."""
+        return self.moves.tolist(), self.accepts.tolist()
+
     def never(self) -> np.ndarray:
         """Bytes that no match holds, for an automaton whose matches begin at the first byte."""
         return (self.moves == self.dead()).all(axis=0)
@@ -176,8 +195,11 @@ class Automaton:
         return steps
 
 
-def compile_patterns(patterns: Sequence[str], anywhere: bool) -> Automaton:
-    """One automaton for all patterns. `anywhere`: a match may begin at any byte; otherwise only at the first."""
+def compile_patterns(patterns: Sequence[str], anywhere: bool, backwards: bool = False) -> Automaton:
+    """One automaton for all patterns. `anywhere`: a match may begin at any byte; otherwise only at the first.
+
+    `backwards`: it reads from right to left, and accepts where a match begins.
+    """
     nfa = _Nfa()
     start = nfa.state()
     ends = {}
@@ -186,8 +208,15 @@ def compile_patterns(patterns: Sequence[str], anywhere: bool) -> Automaton:
         ends[parser.alternatives(start)] = k
         if parser.i != len(pattern):
             raise ValueError(f"not understood from character {parser.i} on: {pattern}")
+    if backwards:
+        if len(patterns) != 1:
+            raise ValueError("only one pattern is read backwards")
+        nfa, start, ends = nfa.turned(), next(iter(ends)), {start: 0}
     if anywhere:
-        nfa.moves[start].append((frozenset(range(256)), start))
+        before = nfa.state()
+        nfa.free[before].append(start)
+        nfa.moves[before].append((frozenset(range(256)), before))
+        start = before
     # Bytes that no move tells apart are one letter.
     letters: dict[frozenset, list[int]] = {}
     sets = {m[0] for moves in nfa.moves for m in moves}

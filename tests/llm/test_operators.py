@@ -177,6 +177,7 @@ def test_private_keys(spark):
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
     blocks = [e.join([begin, *body, end]) for e in ("\n", "\r\n", "\\n", " ", '\\n" +\n  "', "\n# ", "<br>")]
+    blocks.append("\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: 2", "", *body, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"]))
     blocks += ["\n".join([begin, *fields, *body, end]), "\n".join([begin, *body]), "\n".join([begin, *fields, *body]), "\\n".join([begin, *body])]
     texts = [f"é before {b}\n, after: words go on" for b in blocks] + [f"é before {begin}\nMIIEvQ", f"é before {blocks[0]}\n{blocks[1]}"]
     out = {x.doc_id: x for x in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -188,6 +189,34 @@ def test_private_keys(spark):
         assert row.text == prose[row.doc_id].replace(begin, "[private_key]")
 
 
+def test_strips_and_long_texts(monkeypatch):
+    """Segments cut into strips give what uncut ones give, and hostile long texts take time in proportion to their length."""
+    import re
+    import time
+
+    import numpy as np
+
+    r = random.Random(11)
+    parts = ["password", " ", "   ", "=", ": ", "hunter22secret", "AKIA", "ABCDEFGH0123", "deadbeef0123", "eyJ", "a.b", "x" * 9, "ghp_", "-----BEGIN ", "PRIVATE KEY-----", "é"]
+    texts = ["".join(r.choices(parts, k=r.randrange(1, 60))) for _ in range(300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = secret_scan.spans(data, offsets)
+    assert len(whole) > 100
+    monkeypatch.setattr(secret_scan, "STRIP", 7)
+    assert secret_scan.spans(data, offsets) == whole
+    monkeypatch.undo()
+    for k, rule in enumerate(secret_scan.RULES):  # longest is what the greedy patterns of these rules find
+        for row, text in enumerate(texts):
+            plain = [m.span() for m in re.finditer(rule.found.encode(), text.encode()) if re.fullmatch(rule.kept.encode(), m.group())]
+            assert [(a, b) for a, j, b in whole.get(row, []) if j == k] == plain or rule.rests
+    for text in (b"eyJa" * 250_000, b"token =" + b" " * 1_000_000, b"some words " * 400_000, b"deadbeef0123" * 100_000,
+                 b"-----BEGIN PRIVATE KEY-----\n" * 30_000):
+        start = time.time()
+        secret_scan.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert time.time() - start < 30, text[:20]
+
+
 def test_automaton():
     import re
 
