@@ -1,8 +1,11 @@
 """Identifiers and fingerprints."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulemill.functions.values import json_text
 
@@ -15,6 +18,59 @@ def patch_id(issue: Column, product_id: Column, field: Column, new_value: Column
     return F.substring(F.sha1(F.concat_ws(":", issue, product_id, field, json_text(new_value))), 1, 14)
 
 
+def canonical_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Doubles as texts that any engine with IEEE arithmetic can form: the whole 53-bit mantissa, `p`, its power of two.
+
+    Only exact steps are used, so equal numbers give equal texts and different ones different texts, however an engine
+    prints numbers. The two zeros are one number, and so are all that are not a number.
+    """
+    def part(step: str, name: str) -> Column:
+        return F.col(f"`_{step}_{name}`")
+
+    def step(now: DataFrame, label: str, make) -> DataFrame:
+        return now.withColumns({f"_{label}_{n}": make(n) for n in names})
+
+    # Each step is a projection of its own, so that nothing is computed twice.
+    out = step(df, "size", lambda n: F.abs(F.col(f"`{n}`").cast("double")))
+    # Far from 1, a number is first moved by 600 powers of two, which also makes the smallest ones normal.
+    out = step(out, "moved", lambda n: F.when(part("size", n) < 2.0 ** -500, 600).when(part("size", n) > 2.0 ** 500, -600).otherwise(0))
+    out = step(out, "near", lambda n: F.when(
+        (part("size", n) > 0) & (part("size", n) < float("inf")), part("size", n) * F.pow(F.lit(2.0), part("moved", n))))
+    out = step(out, "guess", lambda n: F.floor(F.log2(part("near", n))).cast("int"))
+    # In [1, 2), but for a guess that is off by one.
+    out = step(out, "lead", lambda n: part("near", n) * F.pow(F.lit(2.0), -part("guess", n)))
+    out = step(out, "power", lambda n: part("guess", n) + F.when(part("lead", n) >= 2, 1).when(part("lead", n) < 1, -1).otherwise(0))
+
+    def text(n: str) -> Column:
+        c, size = F.col(f"`{n}`"), part("size", n)
+        whole = (part("near", n) * F.pow(F.lit(2.0), 52 - part("power", n))).cast("bigint").cast("string")
+        sign = F.when(c < 0, "-").otherwise("")
+        number = F.concat(sign, whole, F.lit("p"), (part("power", n) - part("moved", n) - 52).cast("string"))
+        return F.when(F.isnan(c), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(c == 0, "0").otherwise(number)
+
+    return out.select(*[(text(c) if c in names else F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def row_texts(df: DataFrame) -> tuple[DataFrame, Column]:
+    """The table with its cells as texts, and a column with all cells of a row as one text, ordered by column name.
+
+    Numbers are in canonical form, each cell bears its length, and a null is ~, so rows with different cells never give
+    the same text.
+    """
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    texts = canonical_numbers(df, doubles) if doubles else df
+    texts = texts.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    cells = [F.coalesce(F.concat(F.length(f"`{c}`").cast("string"), F.lit(":"), F.col(f"`{c}`")), F.lit("~")) for c in sorted(df.columns)]
+    return texts, F.concat_ws("|", *cells)
+
+
+def row_sums(text: Column) -> Column:
+    """Order-free hash of all rows: two sums of 60 bits of each row's digest, which a repeated row changes as well."""
+    digest = F.sha2(text, 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(28,0)")).cast("string") for at in (1, 16)]
+    return F.concat_ws("-", *sums)
+
+
 def row_number_hash(*cols: Column) -> Column:
     """A row as a 60-bit number; adding these up does not depend on row order.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulemill.functions.hashing import row_number_hash
+from rulemill.functions.hashing import row_number_hash, row_sums, row_texts
 from rulemill.functions.stats import beta_bounds, ratio, wilson_bounds
 from rulemill.operators.evaluate import WORD, Pack, hits, signature_word, text_literal
 from rulemill.operators.ranking import first_n_per_key
@@ -218,14 +218,14 @@ def migration_summary(results: DataFrame) -> DataFrame:
 
 # ---- fingerprints -------------------------------------------------------------------------
 
-def dataset_fingerprint(products: DataFrame, hash_row) -> DataFrame:
-    """Order-free fingerprint: row count, first and last id and the sum of the row hashes."""
-    columns = [F.col(name) for name in sorted(products.columns)]
-    return products.agg(
+def dataset_fingerprint(products: DataFrame) -> DataFrame:
+    """Order-free fingerprint of all columns: row count, first and last id and the sums of the row hashes."""
+    texts, row = row_texts(products)
+    return texts.agg(
         F.count(F.lit(1)).alias("products_tested"),
         F.min("product_id").alias("product_id_first"),
         F.max("product_id").alias("product_id_last"),
-        F.sum(hash_row(*columns).cast("decimal(28,0)")).cast("string").alias("fingerprint"),
+        row_sums(row).alias("fingerprint"),
     )
 
 

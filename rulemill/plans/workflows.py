@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.functions.hashing import row_number_hash
 from rulemill.operators import apply as A
 from rulemill.operators import compare as C
 from rulemill.operators import feedback as B
@@ -109,7 +108,7 @@ def run_comparison(
     comparison = C.rule_comparison(results, (*C.SOURCES, *[C.Source(n, kinds[n]) for n in sorted(kinds)]))
     if store is not None:
         comparison = store.save("rule_comparison", comparison)
-        store.save("run_info", P.dataset_fingerprint(products, row_number_hash).select(
+        store.save("run_info", P.dataset_fingerprint(products).select(
             F.lit(store.run_id).alias("run_id"), F.lit(profile).alias("profile"), "*"))
     return Comparison(results, comparison)
 
@@ -178,7 +177,7 @@ def revalidate(
     before holds source and issues of the export. Scores divide by the sizes of the run before, so the
     corrected table must hold the same products.
     """
-    ids = [P.dataset_fingerprint(df.select("product_id"), row_number_hash).head() for df in (before["source"], corrected)]
+    ids = [P.dataset_fingerprint(df.select("product_id")).head() for df in (before["source"], corrected)]
     if tuple(ids[0]) != tuple(ids[1]):
         raise ValueError("the corrected table does not hold the products of the run before")
     rules = I.comparison_rules(after_comparison)

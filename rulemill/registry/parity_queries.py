@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulemill.functions import hashing
 from rulemill.operators import compare as C
 from rulemill.operators import evaluate as E
 from rulemill.operators import parity as P
@@ -13,6 +12,7 @@ from rulemill.registry.core import BASE, C_CTE, CANDIDATE
 from rulemill.registry.rule_sql import V_CTE
 from rulemill.rules.packs import REGIONAL_RULES, attach_profile_metadata
 from rulemill.rules.spec import SHIPPED, rules_frame
+from rulemill.schemas import NUMBER_COLUMNS, PRODUCT_COLUMNS
 
 FLAGS_CTE = """u AS (
   SELECT rule_name, product_id, max(b) = 1 AS in_baseline, max(c) = 1 AS in_candidate FROM (
@@ -591,18 +591,30 @@ def percent_projection(spark, sf_dir):
         "product_id", percent(F.col("sodium") / 3).alias("sodium_pct"), percent(F.col("energy_kj")).alias("kj_pct"))
 
 
-_HASHED = sorted(("product_id", "ingredients_text_present", "lc", "lang", "language_code"))
-_HASH_SQL = " || '|' || ".join(
-    f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '~')" for c in _HASHED)
+def _number_sql(c: str) -> str:
+    """A double as its whole 53-bit mantissa and a power of two, by exact steps only."""
+    size = f"abs({c})"
+    moved = f"(CASE WHEN {size} < pow(2.0, -500) THEN 600 WHEN {size} > pow(2.0, 500) THEN -600 ELSE 0 END)"
+    near = f"({size} * pow(2.0::DOUBLE, {moved}))"
+    guess = f"CAST(floor(log2({near})) AS INTEGER)"
+    lead = f"({near} * pow(2.0::DOUBLE, -{guess}))"
+    power = f"({guess} + CASE WHEN {lead} >= 2 THEN 1 WHEN {lead} < 1 THEN -1 ELSE 0 END)"
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END "
+            f"WHEN {c} = 0 THEN '0' ELSE CASE WHEN {c} < 0 THEN '-' ELSE '' END || "
+            f"CAST(CAST({near} * pow(2.0::DOUBLE, 52 - {power}) AS BIGINT) AS VARCHAR) || 'p' || CAST({power} - {moved} - 52 AS VARCHAR) END")
 
 
-@query("dataset_fingerprint", f"""WITH {P_CTE}
+_TEXTS_SQL = ", ".join(f"{_number_sql(c)} AS {c}" if c in NUMBER_COLUMNS else f"CAST({c} AS VARCHAR) AS {c}" for c in PRODUCT_COLUMNS)
+_ROW_SQL = " || '|' || ".join(f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '~')" for c in sorted(PRODUCT_COLUMNS))
+
+
+@query("dataset_fingerprint", f"""WITH {P_CTE}, t AS (SELECT {_TEXTS_SQL} FROM p),
+h AS (SELECT product_id, sha256({_ROW_SQL}) AS digest FROM t)
 SELECT count(*) AS products_tested, min(product_id) AS product_id_first, max(product_id) AS product_id_last,
-  CAST(sum(CAST('0x' || substr(sha256({_HASH_SQL}), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM p""")
+  CAST(sum(CAST('0x' || substr(digest, 1, 15) AS HUGEINT)) AS VARCHAR) || '-'
+    || CAST(sum(CAST('0x' || substr(digest, 16, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM h""")
 def dataset_fingerprint(spark, sf_dir):
-    # doubles print differently in the two engines, so the checked query hashes the other columns
-    p = products(spark, sf_dir).select(*_HASHED)
-    return P.dataset_fingerprint(p, hashing.row_number_hash)
+    return P.dataset_fingerprint(products(spark, sf_dir))
 
 
 @query("fingerprint_consistency", f"""{WITH_RESULTS}, f AS (
