@@ -88,6 +88,8 @@ def _marks(part: pa.RecordBatch) -> np.ndarray:
 
 
 def _placed(starts: np.ndarray, stops: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    if len(starts) and int(starts.max()) >> START_BITS:
+        raise ValueError(f"a text has {1 << START_BITS} bytes or more")
     return (starts.astype(np.int64) << LENGTH_BITS | (stops - starts).astype(np.int64)) << MARK_BITS | marks
 
 

@@ -217,6 +217,16 @@ def test_strips_and_long_texts(monkeypatch):
         assert time.time() - start < 30, text[:20]
 
 
+def test_places_of_too_long_texts_fail():
+    import numpy as np
+
+    mark = np.zeros(1, np.int64)
+    last = np.array([(1 << 30) - 1])
+    assert [x.tolist() for x in suffix_dedup._spans(suffix_dedup._placed(last, last + 50, mark))] == [last.tolist(), (last + 50).tolist()]
+    with pytest.raises(ValueError, match="bytes or more"):
+        suffix_dedup._placed(last + 1, last + 51, mark)
+
+
 def test_automaton():
     import re
 
