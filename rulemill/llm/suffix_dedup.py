@@ -77,8 +77,8 @@ def _intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 
 
 # A place is one number: the start of a span (30 bits), its length (13 bits) and 20 bits of the signature of its text,
-# which tell rows with one id but different texts apart. Longer spans are cut.
-LENGTH_BITS, MARK_BITS = 13, 20
+# which tell rows with one id but different texts apart. Longer spans are cut. A text beyond START_BITS is an error.
+START_BITS, LENGTH_BITS, MARK_BITS = 30, 13, 20
 LONGEST = 4096
 _SENT = "spread long, doc_id long, place long, stretch binary"
 
