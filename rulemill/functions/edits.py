@@ -64,8 +64,9 @@ def parse_manual_edit(c: Column) -> Column:
 
     def of_text(text: Column) -> Column:
         return (
-            F.when(text == "", result(none, F.lit(None)))
-            .when(text.startswith("{"), bound(F.try_parse_json(text), of_object))
+            F.when(text.startswith("{"), bound(F.try_parse_json(text), of_object))
             .otherwise(bound(F.filter(F.transform(F.split(text, ";"), strip), lambda x: x != ""), of_chunks)))
 
-    return bound(normalize_optional_text(c), of_text)
+    # most cells are empty and need no function
+    text = normalize_optional_text(c)
+    return F.when(text == "", result(none, F.lit(None))).otherwise(bound(text, of_text))

@@ -1,6 +1,8 @@
 """Review actions and issue states."""
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,23 +24,24 @@ STATUSES = tuple(STATUS_WORDS)
 FINAL_STATUSES = ("applied", "revalidated_resolved", "revalidated_remaining")
 
 
+def _word(c: Column) -> Column:
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
+
+
+def _meaning(word: Column, meanings: Mapping[str, Sequence[str]]) -> Column:
+    """The meaning that lists the word, or null. A constant map names the word once, however many words there are."""
+    pairs = [F.lit(x) for meaning, words in meanings.items() for w in words for x in (w, meaning)]
+    return F.try_element_at(F.create_map(*pairs), word)
+
+
 def normalize_user_action(c: Column) -> Column:
-    word = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return (
-        F.when(word.isin(*APPROVE_WORDS), "approve")
-        .when(word.isin(*REJECT_WORDS), "reject")
-        .when(word.isin(*EMPTY_WORDS), "")
-        .otherwise(word)
-    )
+    word = _word(c)
+    return F.coalesce(_meaning(word, {"approve": APPROVE_WORDS, "reject": REJECT_WORDS, "": EMPTY_WORDS}), word)
 
 
 def normalize_issue_status(c: Column) -> Column:
-    word = F.lower(strip(F.coalesce(c, F.lit(""))))
-    out = None
-    for status, words in STATUS_WORDS.items():
-        hit = word.isin(*words)
-        out = F.when(hit, status) if out is None else out.when(hit, status)
-    return out.otherwise(word)
+    word = _word(c)
+    return F.coalesce(_meaning(word, STATUS_WORDS), word)
 
 
 def is_valid_issue_status(c: Column) -> Column:
@@ -46,15 +49,11 @@ def is_valid_issue_status(c: Column) -> Column:
 
 
 def derive_issue_status(stored: Column, action: Column) -> Column:
-    status = normalize_issue_status(stored)
-    act = normalize_user_action(action)
-    return (
-        F.when(status.isin(*FINAL_STATUSES), status)
-        .when(act == "approve", "approved")
-        .when(act == "reject", "rejected")
-        .when(status.isin(*STATUSES), status)
-        .otherwise("pending_review")
-    )
+    word = _word(stored)
+    return F.coalesce(
+        _meaning(word, {s: STATUS_WORDS[s] for s in FINAL_STATUSES}),
+        _meaning(_word(action), {"approved": APPROVE_WORDS, "rejected": REJECT_WORDS}),
+        _meaning(word, STATUS_WORDS), F.lit("pending_review"))
 
 
 def strip_fix_id(c: Column) -> Column:

@@ -101,6 +101,12 @@ def percent(c: Column) -> Column:
 
 def double_text(c: Column) -> Column:
     """Shortest text of a double: fixed notation from 1e-4 up to 1e16, otherwise an exponent of two digits or more."""
+    plain = c.cast("string")
+    # the long form stands in a function of its own, so that the code of the usual one stays small enough to be compiled
+    return F.when(plain.contains("E"), bound(c, _exponent_text)).otherwise(plain)
+
+
+def _exponent_text(c: Column) -> Column:
     plain = c.cast("string")
     size = F.abs(c)
     unscaled = F.regexp_replace(c.cast("decimal(38,20)").cast("string"), r"0+$", "")
@@ -111,8 +117,4 @@ def double_text(c: Column) -> Column:
         F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
         F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
     )
-    return (
-        F.when(~plain.contains("E"), plain)
-        .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(F.concat(mantissa, F.lit("e"), exponent))
-    )
+    return F.when((size >= 1e-4) & (size < 1e16), fixed).otherwise(F.concat(mantissa, F.lit("e"), exponent))

@@ -40,8 +40,8 @@ def count_votes(events: DataFrame) -> DataFrame:
 
 
 def feedback_counts(events: DataFrame) -> DataFrame:
-    """Counts per strategy, over all rules (scope global) and per rule, from one pass."""
-    per_rule = events.rollup("fix_strategy", "rule_name").agg(
+    """Counts per strategy, over all rules (scope global) and per rule, from one pass; only counts are rolled up."""
+    per_rule = count_votes(events).rollup("fix_strategy", "rule_name").agg(
         F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"),
         F.grouping("rule_name").alias("g"), F.grouping("fix_strategy").alias("all"))
     return per_rule.where("all = 0").select(

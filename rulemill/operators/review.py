@@ -120,8 +120,13 @@ def validation_counts(checked: DataFrame, missing_columns: int = 0) -> DataFrame
 
 # ---- decisions ----------------------------------------------------------------------------
 
-def decisions(sheet: DataFrame, issues: DataFrame) -> DataFrame:
-    """Sheet rows joined with their issue, the chosen fix, the parsed edit and the changes to make.
+def _fix_named(fix_id: Column) -> Column:
+    """The fix of that id, or null. Positions, unlike a filter, stay in generated code; that of no fix is 0."""
+    return F.get("fix_candidates", F.array_position("fix_candidates.fix_id", fix_id).cast("int") - 1)
+
+
+def choices(sheet: DataFrame, issues: DataFrame) -> DataFrame:
+    """Sheet rows joined with their issue, the chosen fix and the parsed edit: what votes read.
 
     Rows of unknown issues are left out here; unknown_issue_ids and unknown_fix_ids name the offenders.
     """
@@ -133,8 +138,13 @@ def decisions(sheet: DataFrame, issues: DataFrame) -> DataFrame:
         parse_manual_edit(F.col("manual_edit"))["changes"].alias("manual_changes"), *notes,
     ).where("issue_id <> ''")
     joined = rows.join(issues.select("issue_id", "product_id", "rule_name", "fix_candidates"), "issue_id")
-    selected = F.get(F.filter("fix_candidates", lambda f: f["fix_id"] == F.col("selected_fix_id")), F.lit(0))
-    edited = F.transform("manual_changes", lambda c: c["field"])
+    return joined.withColumn("selected_fix", _fix_named(F.col("selected_fix_id")))
+
+
+def decisions(sheet: DataFrame, issues: DataFrame) -> DataFrame:
+    """Choices with the changes to make."""
+    joined = choices(sheet, issues)
+    edited = F.col("manual_changes.field")
 
     def change(field: Column, value: Column, source: Column, kind: str) -> Column:
         return F.struct(field.alias("field"), value.alias("new_value"), source.alias("source_fix_id"),
@@ -148,7 +158,7 @@ def decisions(sheet: DataFrame, issues: DataFrame) -> DataFrame:
     sources = F.array_compact(F.array(
         F.when(fix.isNotNull(), F.col("selected_fix_id")),
         F.when(F.size("manual_changes") > 0, "manual_edit")))
-    return joined.withColumn("selected_fix", selected).withColumns({
+    return joined.withColumns({
         "applied_changes": F.coalesce(F.concat(suggested, manual), manual), "source_fix_ids": sources})
 
 
@@ -160,7 +170,7 @@ def patch_preview(sheet: DataFrame, issues: DataFrame) -> DataFrame:
         parse_manual_edit(F.col("manual_edit")).alias("edit"))
     rows = approved.join(
         issues.select("issue_id", "product_id", "rule_name", "current_values", "fix_candidates"), "issue_id")
-    fix = F.get(F.filter("fix_candidates", lambda f: f["fix_id"] == F.col("fix_id")), F.lit(0))
+    fix = _fix_named(F.col("fix_id"))
 
     def line(source, field, value, strategy) -> Column:
         old = F.try_element_at("current_values", field)
