@@ -76,3 +76,12 @@ def test_feedback_queries_count_choices_first(spark):
     for name in ("top_strategies", "feedback_summary", "feedback_counts", "flatten_feedback"):
         plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "chosen" in plan and "schemaOfVariant" not in plan, name
+
+
+def test_rows_without_a_fix_or_an_edit_change_nothing(spark):
+    sheet = _sheet(spark)
+    issues = _issues(spark).withColumn("fix_candidates", F.expr(
+        "transform(fix_candidates, f -> named_struct('fix_id', f.fix_id, 'target_field', 'fat', 'new_value', named_struct('kind', 'int', 'value', '1')))"))
+    whole, few = (R.decisions(rows, issues).select("issue_id", "issue_status", F.inline("applied_changes")) for rows in (sheet, R.filled(sheet)))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, few.collect()))
+    assert 0 < R.filled(sheet).count() < sheet.count()
