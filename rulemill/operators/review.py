@@ -209,27 +209,29 @@ def patch_preview(sheet: DataFrame, issues: DataFrame) -> DataFrame:
         F.explode_outer(F.array(state)).alias("state"),
     ).where("state = 'approved'").select(
         "issue_id", "fix_id", parse_stripped_edit(F.col("manual_edit")).alias("edit"))
-    rows = approved.join(
-        issues.select("issue_id", "product_id", "rule_name", "current_values", "fix_candidates"), "issue_id")
-    fix = _fix_named(F.col("fix_id"))
+    # members apart are smaller rows to shuffle and sort
+    members = {"ids": "fix_id", "fields": "target_field", "values": "new_value.value", "strategies": "fix_strategy"}
+    offered = issues.select("issue_id", "product_id", "rule_name", "current_values", *[
+        F.col(f"fix_candidates.{member}").alias(name) for name, member in members.items()])
+    rows = approved.join(offered, "issue_id").withColumn("at", F.array_position("ids", F.col("fix_id")).cast("int") - 1)
 
     def line(source, field, value, strategy) -> Column:
-        old = F.try_element_at("current_values", field)
-        return F.struct(source.alias("source"), field.alias("field"), old.alias("old_value"), value.alias("new_value"),
-                        strategy.alias("fix_strategy"))
+        return F.struct(source.alias("source"), field.alias("field"), value.alias("new_value"), strategy.alias("fix_strategy"))
 
     blank = F.lit("")
     suggested = F.when(
-        fix.isNotNull() & (fix["target_field"] != ""),
-        F.array(line(F.lit("suggested_fix"), fix["target_field"], fix["new_value"]["value"], fix["fix_strategy"])))
+        F.get("fields", F.col("at")) != "", F.array(line(
+            F.lit("suggested_fix"), *[F.get(name, F.col("at")) for name in ("fields", "values", "strategies")])))
     manual = F.transform(F.col("edit.changes"), lambda c: line(
         F.lit("manual_edit"), c["field"], c["value"]["value"], F.lit("manual_edit")))
-    bad = F.array(F.struct(F.lit("invalid_manual_edit").alias("source"), blank.alias("field"), blank.alias("old_value"),
-                           blank.alias("new_value"), F.col("edit.error").alias("fix_strategy")))
+    bad = F.array(line(F.lit("invalid_manual_edit"), blank, blank, F.col("edit.error")))
     lines = F.when(F.col("edit.error").isNotNull(), bad).otherwise(F.coalesce(F.concat(suggested, manual), manual))
-    # put together before they are taken apart, as only then in generated code
+    # put together before they are taken apart, as only then in generated code; the old value is found after that, so that
+    # whoever does not read it needs no current values
+    old = F.when(F.col("source") == "invalid_manual_edit", blank).otherwise(F.try_element_at("current_values", F.col("field")))
     return rows.withColumn("lines", lines).select(
-        "issue_id", "product_id", "rule_name", F.inline_outer("lines")).where("source IS NOT NULL")
+        "issue_id", "product_id", "rule_name", "current_values", F.inline_outer("lines")).where("source IS NOT NULL").select(
+        "issue_id", "product_id", "rule_name", "source", "field", old.alias("old_value"), "new_value", "fix_strategy")
 
 
 # ---- states -------------------------------------------------------------------------------
