@@ -99,6 +99,22 @@ def weight_maps(weights: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("fix_strategy", "weight"))).alias("weights"))
 
 
+def weights_by_rule(weights: DataFrame) -> dict[str, dict[str, float]]:
+    """The weights of every rule, at most one row per rule and strategy, for with_ranked_fixes."""
+    found: dict[str, dict[str, float]] = {}
+    for row in weights.collect():
+        found.setdefault(row.rule_name, {})[row.fix_strategy] = row.weight
+    return found
+
+
+def weights_by_rule(weights: DataFrame) -> dict[str, dict[str, float]]:
+    """The weights of every rule, at most one row per rule and strategy, for with_ranked_fixes."""
+    found: dict[str, dict[str, float]] = {}
+    for row in weights.collect():
+        found.setdefault(row.rule_name, {})[row.fix_strategy] = row.weight
+    return found
+
+
 def attach_weights(issues: DataFrame, weights: DataFrame) -> DataFrame:
     """Issues with the weights of their rule, for rank_fixes."""
     return issues.join(F.broadcast(weight_maps(weights)), "rule_name", "left")

@@ -93,8 +93,9 @@ def explanation_sql() -> str:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """Adds the fields and the explanation to one row per rule."""
-    return rules.withColumns({"fields": F.expr(fields_sql()), "rule_explanation": F.expr(explanation_sql())})
+    """Adds the fields, the explanation and the parts of the description to one row per rule."""
+    return rules.withColumns({"fields": F.expr(fields_sql()), "rule_explanation": F.expr(explanation_sql()),
+                              "description_parts": F.expr(description_parts_sql())})
 
 
 def shown_sql(name: str) -> str:
@@ -119,16 +120,43 @@ def fill_sql(template: str, **values: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def description_sql() -> str:
-    """SQL over rule_name, condition and the product columns."""
-    limited = " ".join(f"WHEN '{n}{OVER_LIMIT}' THEN {shown_sql(n)}" for n in NUMBER_COLUMNS)
-    values = {n: shown_sql(n) for n in NUMBER_COLUMNS}
-    own = " ".join(f"WHEN rule_name = '{rule}' THEN {fill_sql(text, **values)}" for rule, text in DESCRIPTIONS.items())
+def _parts_sql(template: str) -> str:
+    """SQL of an array of parts (text, field) from a text with fields in braces."""
+    pieces = re.split(r"[{}]", template)
+    fields = [f"'{name}'" for name in pieces[1::2]] + ["CAST(NULL AS STRING)"]
+    return f"array({', '.join(f"""named_struct('text', '{text}', 'field', {field})""" for text, field in zip(pieces[::2], fields))})"
+
+
+def description_parts_sql() -> str:
+    """SQL over rule_name and condition: the texts of a description, each with the field whose value follows it or null.
+
+    Worked out once per rule: a row only prints the few values that its rule names.
+    """
+    limit = f"substring(rule_name, 1, length(rule_name) - {len(OVER_LIMIT)})"
+    own = " ".join(f"WHEN rule_name = '{rule}' THEN {_parts_sql(text)}" for rule, text in DESCRIPTIONS.items())
+
+    def whole(template: str) -> str:
+        text = fill_sql(template, condition="condition")
+        return f"CASE WHEN condition IS NOT NULL THEN array(named_struct('text', {text}, 'field', CAST(NULL AS STRING))) END"
+
+    before, _, after = DESCRIBE_LIMIT.partition("{value}")
+    limited = f"""array(named_struct('text', {fill_sql(before, name=_NAME_SQL)}, 'field', {limit}),
+        named_struct('text', '{after}', 'field', CAST(NULL AS STRING)))"""
     return f"""CASE
-        WHEN {_IS_LIMIT} THEN {fill_sql(DESCRIBE_LIMIT, name=_NAME_SQL, value=f"CASE rule_name {limited} ELSE 'blank' END")}
+        WHEN {_IS_LIMIT} THEN {limited}
         {own}
-        WHEN contains(rule_name, 'mismatch') THEN {fill_sql(DESCRIBE_MISMATCH, condition='condition')}
-        ELSE {fill_sql(DESCRIBE_OTHER, condition='condition')} END"""
+        WHEN contains(rule_name, 'mismatch') THEN {whole(DESCRIBE_MISMATCH)}
+        ELSE {whole(DESCRIBE_OTHER)} END"""
+
+
+def _shown_number_sql(field: str) -> str:
+    """SQL for the display text of the number column that a field names; another name gives the text of a null."""
+    cases = " ".join(f"WHEN '{name}' THEN `{name}`" for name in NUMBER_COLUMNS)
+    return format_value_sql(f"CASE {field} {cases} END", True)
+
+
+DESCRIPTION = f"""array_join(transform(description_parts, q ->
+    CASE WHEN q.field IS NULL THEN q.text ELSE concat(q.text, {_shown_number_sql('q.field')}) END), '')"""
 
 
 ISSUE_COLUMNS = (
@@ -148,10 +176,10 @@ def build_issues(violations: DataFrame, rules: DataFrame) -> DataFrame:
     joined = violations.join(F.broadcast(prepare_rules(rules)), "rule_name")
     return joined.withColumns({
         "issue_id": hashing.issue_id(F.col("rule_name"), F.col("product_id")),
-        "issue_description": F.expr(description_sql()),
+        "issue_description": F.expr(DESCRIPTION),
         "current_values": F.expr(CURRENT_VALUES),
         "current_values_display": F.expr(CURRENT_DISPLAY),
-    })
+    }).drop("description_parts")
 
 
 def issues_join(products: DataFrame, pack: Pack, rules: DataFrame, max_per_rule: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from rulemill.operators.evaluate import Pack
 from rulemill.rules.catalog import rule_ir
 from rulemill.rules.packs import DEFAULT_PROFILE, attach_profile_metadata, select_rules
 from rulemill.rules.spec import SHIPPED, Rule, rules_frame
-from rulemill.schemas import FEEDBACK_SCHEMA
+from rulemill.schemas import FEEDBACK_SCHEMA, FIX
 from rulemill.session import TABLE_FILES
 from rulemill.sources import sheets
 
@@ -127,8 +127,9 @@ def export_review(
     frozen = store.save("source", products)
     rules = rule_rows(spark, pack.rules)
     weights = B.feedback_weights(feedback, rules)
-    made = X.with_fixes(I.issues_join(frozen, pack, I.comparison_rules(comparison, rules), max_per_rule))
-    issues = store.save("issues", X.rank_fixes(B.attach_weights(made, weights)).select(*I.ISSUE_COLUMNS, "fix_candidates"))
+    found = I.issues_join(frozen, pack, I.comparison_rules(comparison, rules), max_per_rule)
+    made = X.with_ranked_fixes(found, FIX.names, B.weights_by_rule(weights))
+    issues = store.save("issues", made.select(*I.ISSUE_COLUMNS, "fix_candidates"))
     sheets.write_review_sheet(X.review_sheet(issues), store.path("review_sheet"))
     return {
         "source": frozen, "issues": issues, "sheet": sheets.scan_review_sheet(spark, store.path("review_sheet")),

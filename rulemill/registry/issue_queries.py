@@ -30,7 +30,7 @@ def issues(spark, sf_dir):
 
 
 def ranked(spark, sf_dir):
-    return X.rank_fixes(X.with_fixes(issues(spark, sf_dir)))
+    return X.with_ranked_fixes(issues(spark, sf_dir), X.FIX.names)
 
 
 # ---- the same in SQL -------------------------------------------------------------------------
@@ -287,7 +287,8 @@ _REASON = ("'Ranked #' || rank || ' from base confidence ' || printf('%.2f', con
 @query("rank_fixes", f"""{WITH_RANKS}
 SELECT issue_id, fix_id, CAST(rank AS INTEGER) AS rank, {_REASON} AS ranking_reason FROM k""")
 def rank_fixes(spark, sf_dir):
-    return X.explode_fixes(ranked(spark, sf_dir)).select("issue_id", "fix_id", "rank", "ranking_reason")
+    made = X.rank_fixes(X.with_fixes(issues(spark, sf_dir)))
+    return X.explode_fixes(made).select("issue_id", "fix_id", "rank", "ranking_reason")
 
 
 _CELL = ("fix_id || ' | ' || suggested_change || ' | confidence=' || printf('%.2f', confidence) || ' | '"

@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulemill.operators import feedback as B
 from rulemill.operators import fixes as X
+from rulemill.operators import issues as I
 from rulemill.operators import review as R
 from rulemill.registry import QUERIES
 from rulemill.registry import all_queries  # noqa: F401  (fills QUERIES)
 from rulemill.registry import review_queries
+from rulemill.schemas import PRODUCT_COLUMNS, column_type
 
 NUMBERS = ("energy_kj", "energy_kj_computed", "energy_kcal", "fat", "saturated_fat", "carbohydrates", "sugars", "starch")
 RULES = (*[name for name in X.FIXES if name != "over_limit"], "fat_over_105g", "saturated_fat_over_105g",
@@ -60,3 +63,38 @@ def test_the_preview_query_writes_no_table(spark, monkeypatch):
 
     monkeypatch.setattr(review_queries, "materialize", refuse)
     assert QUERIES["patch_preview"].run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_ranks_and_reasons_by_templates_are_those_by_row(spark):
+    """With and without feedback weights, for rules of their own weights, others, unknown and missing ones."""
+    issues = _issues(spark)
+    weights = [("fat_over_105g", "clamp_to_limit", -0.22), ("fat_over_105g", "clear_suspicious_value", 0.22),
+               ("main_language_missing", "copy_existing_value", -0.125), ("no_such_rule", "manual_review_required", 0.0101),
+               ("energy_kj_mismatch_low", "no_such_strategy", 0.1), ("energy_kj_computed_mismatch_high", "align_related_fields", 0.005)]
+    table = spark.createDataFrame(weights, "rule_name string, fix_strategy string, weight double")
+    for given in (table, table.limit(0)):
+        plain = X.rank_fixes(X.with_fixes(B.attach_weights(issues, given))).drop("weights").select(*issues.columns, "fix_candidates")
+        quick = X.with_ranked_fixes(issues, X.FIX.names, B.weights_by_rule(given))
+        assert quick.columns == plain.columns
+        assert sorted(map(str, quick.collect())) == sorted(map(str, plain.collect()))
+        assert "sort_array" not in quick._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_description_prints_the_values_of_its_rule_only(spark):
+    """Parts are made once per rule; a row's plan holds one printing of numbers for all rules."""
+    texts = {
+        "sugars_over_105g": "Sugars is 110.5, above the allowed maximum of 105.", "unknown_over_105g": "Unknown is blank, above the allowed maximum of 105.",
+        "saturated_fat_vs_fat": "Saturated fat (2) is greater than total fat (blank).", "main_language_missing": "Main language is blank for this product.",
+        "sugars_plus_starch_vs_carbohydrates": "Sugars + starch (110.5 + 0.125) exceeds carbohydrates (-1).",
+        "energy_kj_mismatch_low": "The recorded nutrition values do not fit the expected relationship: a < b.",
+        "other": "This product violates the rule: a < b.", "no_condition": None}
+    rules = spark.createDataFrame(
+        [(name, None if name == "no_condition" else "a < b") for name in texts], "rule_name string, condition string").withColumn(
+            "required_fields", F.array(F.lit("fat")))
+    values = {"sugars": 110.5, "saturated_fat": 2.0, "starch": 0.125, "carbohydrates": -1.0}
+    row = spark.range(1).select(*[
+        F.lit(values.get(c, "p" if c == "product_id" else None)).cast(column_type(c)).alias(c) for c in PRODUCT_COLUMNS])
+    found = I.build_issues(row.crossJoin(rules.select("rule_name")), rules)
+    assert {r.rule_name: r.issue_description for r in found.collect()} == texts
+    plan = found.select("issue_id", "issue_description")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_number") == 1
